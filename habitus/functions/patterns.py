@@ -24,9 +24,65 @@ INLINE_SPACE_CLASS = SPACE_CLASS.replace(r"\n", "")
 WORD_EDGE = (
     r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 )
+# Cheaper halves for an edge whose inner side is known to be a word character.
+WORD_START = r"(?<![A-Za-z0-9_])"
+WORD_END = r"(?![A-Za-z0-9_])"
 ANY_CHAR = r"[\s\S]"
 
 
+def _closing(pattern: str, at: int) -> int:
+    """Index of the parenthesis that closes the one at ``at``, or -1."""
+    depth, in_class, i = 0, False, at
+    while i < len(pattern):
+        char = pattern[i]
+        if char == "\\":
+            i += 1
+        elif char in "[]":
+            in_class = char == "["
+        elif not in_class and char in "()":
+            depth += 1 if char == "(" else -1
+            if depth == 0:
+                return i
+        i += 1
+    return -1
+
+
+def _plain_words(group: str) -> list[str] | None:
+    """Alternatives of a flat group of literal text, else None."""
+    body = group.removeprefix("?:")
+    return None if any(c in "()[]*?{\\" for c in body) else body.split("|")
+
+
+def _is_word(char: str) -> bool:
+    return char == "_" or (char.isascii() and char.isalnum())
+
+
+def _word_edge(pattern: str, at: int) -> str:
+    """Java form of the ``\\b`` at ``at``: one look-around where one side is certain.
+
+    Before a group of literal words the possible first letters are tested first,
+    so most positions of a text are rejected by a single character class.
+    """
+    after = pattern[at + 2 :]
+    if after[:1] == "(" and (end := _closing(after, 0)) > 0:
+        words = _plain_words(after[1:end])
+        if words and all(w and _is_word(w[0]) for w in words):
+            return f"(?=[{''.join(sorted({w[0] for w in words}))}])" + WORD_START
+    if after[:1] and _is_word(after[0]) and after[1:2] not in ("?", "*", "{"):
+        return f"(?={after[0]})" + WORD_START
+    before = pattern[:at]
+    if before and _is_word(before[-1]) and before[-2:-1] != "\\":
+        return WORD_END
+    if before.endswith(")"):
+        for start in range(len(before) - 1, -1, -1):
+            if before[start] == "(" and _closing(before, start) == len(before) - 1:
+                words = _plain_words(before[start + 1 : -1])
+                if words and all(w and _is_word(w[-1]) for w in words):
+                    return WORD_END
+                break
+    return WORD_EDGE
+
+
 def java(pattern: str, flags: str = "", inline: bool = False) -> str:
     """Compile an ECMAScript pattern for Java; ``inline`` keeps ``\\s`` on one line."""
     space = INLINE_SPACE_CLASS if inline else SPACE_CLASS
@@ -47,7 +103,7 @@ def java(pattern: str, flags: str = "", inline: bool = False) -> str:
             elif pair == r"\S":
                 out.append(f"[^{space}]")
             elif pair == r"\b" and not in_class:
-                out.append(WORD_EDGE)
+                out.append(_word_edge(pattern, i))
             else:
                 out.append(pair)
             i += 2

@@ -27,18 +27,16 @@ PROMPT_HEAD = (
 def rule_hits(files: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """(project, rule_id, path): every file each rule matches.
 
-    All predicates run in one projection right above the scan; only the ids of
-    matching rules leave it, the content column does not.
+    All predicates run once, inside the generator right above the scan; only
+    the ids of matching rules leave it, the content column does not.  The array
+    is not a named column on purpose: a filter on its size would be derived and
+    pushed below, and every pattern would run twice.
     """
     probe = ColumnProbe(F.col("path"), F.col("extension"), F.col("content"))
     matched = F.array_compact(
         F.array(*[F.when(rule.when(probe), F.lit(rule.id)) for rule in rules])
     )
-    return (
-        files.select("project", "path", matched.alias("rule_ids"))
-        .filter(F.size("rule_ids") > 0)
-        .select("project", F.explode("rule_ids").alias("rule_id"), "path")
-    )
+    return files.select("project", F.explode(matched).alias("rule_id"), "path")
 
 
 def confidence(count: Column, min_high: Column, min_medium: Column) -> Column:

@@ -84,11 +84,13 @@ class ColumnProbe:
     def ext(self, *extensions: str) -> Column:
         return self._extension.isin(*extensions)
 
-    def _line(self, pattern: str, without: str = "") -> Column:
+    def _line(self, pattern: str, needs: tuple[str, ...], without: str = "") -> Column:
         """A trimmed, non-comment line matches; done as one multi-line search.
 
         The content is never split: ``(?m)`` anchors plus a one-line white-space
-        class give the line-wise answer inside generated code.
+        class give the line-wise answer inside generated code.  ``needs`` names
+        literal text one of which every match contains: a plain byte search
+        that spares most files the regular expression.
         """
         space = rx.INLINE_SPACE_CLASS
         skip_comment = rf"(?![{space}]*(?://|\*))"
@@ -98,13 +100,16 @@ class ColumnProbe:
             tail = f"[{space}]*{body[1:]}"
         else:
             tail = f".*{body}"
-        return self._content.rlike(f"(?m)^{skip_comment}{veto}{tail}")
+        present = F.contains(self._content, F.lit(needs[0]))
+        for text in needs[1:]:
+            present = present | F.contains(self._content, F.lit(text))
+        return present & self._content.rlike(f"(?m)^{skip_comment}{veto}{tail}")
 
     def pinia(self) -> Column:
         """Imports pinia, declares a store, or creates the store container."""
-        found = self._line(PINIA_CREATE, without="=>")
-        for pattern in PINIA_LINES:
-            found = self._line(pattern) | found
+        found = self._line(PINIA_CREATE, ("createPinia",), without="=>")
+        for pattern, needed in zip(PINIA_LINES, ("pinia", "pinia", "defineStore")):
+            found = self._line(pattern, (needed,)) | found
         return found
 
     def security(self) -> Column:
@@ -114,14 +119,14 @@ class ColumnProbe:
         script = self.ext(".ts", ".js", ".tsx", ".jsx")
         guarded = self.path(PERMISSION_DIR, "i")
         return (
-            (java & self._line(JAVA_GUARD))
-            | ((script | vue) & self._line(PERMISSION_IMPORT))
+            (java & self._line(JAVA_GUARD, ("@Valid", "@PreAuthorize")))
+            | ((script | vue) & self._line(PERMISSION_IMPORT, ("permission",)))
             | (
                 (vue | guarded)
-                & self._line(PERMISSION_DIRECTIVE, without=r"rules\.includes")
+                & self._line(PERMISSION_DIRECTIVE, ("v-has",), without=r"rules\.includes")
             )
-            | (java & self._line(SECURITY_TYPE))
-            | self._line(SANITIZE_CALL)
+            | (java & self._line(SECURITY_TYPE, ("Security", "Xss")))
+            | self._line(SANITIZE_CALL, ("sanitize",))
         )
 
 

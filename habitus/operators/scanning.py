@@ -11,7 +11,7 @@ from habitus.functions import globs
 from habitus.functions import patterns as rx
 from habitus.functions.languages import detect_language
 from habitus.functions.paths import basename, file_extension
-from habitus.session import broadcast_if_small
+from habitus.session import BROADCAST_LIMIT, broadcast_if_small, measured_bytes
 
 # Files that mark a project root, and project types by dependency
 # in order of precedence.
@@ -74,7 +74,23 @@ def ignore_regexes(files_raw: DataFrame) -> DataFrame:
     )
 
 
-def drop_ignored(files: DataFrame, regexes: DataFrame) -> DataFrame:
+def ignore_regex_bound(files_raw: DataFrame) -> int:
+    """Upper bound in bytes for ``ignore_regexes``, from file sizes alone.
+
+    Every character of an ignore file becomes at most six, every line gets a
+    few more; no content is read.
+    """
+    total = (
+        files_raw.filter(F.col("path") == ".gitignore")
+        .agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("s"))
+        .first()
+    )
+    return 16 * total["s"] + 64 * total["n"]
+
+
+def drop_ignored(
+    files: DataFrame, regexes: DataFrame, regex_bytes: int | None = None
+) -> DataFrame:
     """Files no ignore pattern covers, directly or through a directory.
 
     With a regex table of checked small size the join is a broadcast and file
@@ -84,10 +100,11 @@ def drop_ignored(files: DataFrame, regexes: DataFrame) -> DataFrame:
     ignored = F.coalesce(
         globs.prunes_path(F.col("path"), F.col("ignore_regex")), F.lit(False)
     )
-    small = broadcast_if_small(regexes)
-    if small is not None:
+    if regex_bytes is None:
+        regex_bytes = measured_bytes(regexes)
+    if regex_bytes <= BROADCAST_LIMIT:
         return (
-            files.join(small, "project", "left")
+            files.join(F.broadcast(regexes), "project", "left")
             .filter(~ignored)
             .drop("ignore_regex")
         )
@@ -132,10 +149,10 @@ def scan_files(
         .filter(outside_hidden_dirs(F.col("path"), config.visible_hidden_dirs))
         .filter(scannable(config.max_file_size))
     )
-    if config.respect_gitignore:
-        files = drop_ignored(
-            files, ignore_regexes(files_raw) if ignore is None else ignore
-        )
+    if config.respect_gitignore and ignore is None:
+        files = drop_ignored(files, ignore_regexes(files_raw), ignore_regex_bound(files_raw))
+    elif config.respect_gitignore:
+        files = drop_ignored(files, ignore)
     return files.select(
         "project",
         "path",
@@ -214,16 +231,20 @@ def assign_projects(files_raw: DataFrame, projects: DataFrame) -> DataFrame:
 def detect_project_type(files_raw: DataFrame) -> DataFrame:
     """(project, project_type) from root manifests, first hit wins.
 
-    Partial aggregation carries at most one manifest per project and task; the
-    contents of other files are never read into the aggregate.
+    Marker files are found on (project, path) alone; contents are read through
+    a path filter the scan can use, and only of root package manifests.
     """
     path = F.col("path")
-    package = F.max(F.when(path == "package.json", F.col("content"))).alias("package")
     markers = [
         F.bool_or(path.isin(*names)).alias(f"__has_{kind}")
         for names, kind in TYPE_BY_FILE
     ]
-    per_project = files_raw.groupBy("project").agg(package, *markers)
+    packages = (
+        files_raw.filter(path == "package.json")
+        .groupBy("project")
+        .agg(F.max("content").alias("package"))
+    )
+    per_project = files_raw.groupBy("project").agg(*markers).join(packages, "project", "left")
     parsed = F.from_json("package", PACKAGE_SCHEMA)
     deps = F.coalesce(parsed["dependencies"], F.create_map().cast("map<string,string>"))
     dev = F.coalesce(

@@ -214,6 +214,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+SMALL_INPUT = 1 << 30
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input of a few small files; large inputs stay as read.
+
+    A file of one row group is one task however many cores there are.  Beyond
+    the size limit the scan itself has more tasks than cores and nothing moves.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size > SMALL_INPUT:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The view as a DataFrame over the parquet files of ``sf_dir``."""
     text = _VIEWS[name](_spark_quote, _SPARK)
@@ -229,4 +244,4 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         text = text.replace(open_close, open_close * 2)
     for t in tables:
         text = text.replace("{{" + t + "}}", "{" + t + "}")
-    return spark.sql(text, **tables)
+    return spread(spark.sql(text, **tables))
