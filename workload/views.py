@@ -166,12 +166,63 @@ def _layer_docs(lit, f) -> str:
     )
     return (
         "SELECT 'skill' || CAST(CAST(floor(doc_id / 64) AS BIGINT) AS STRING) AS skill,"
-        " 'type' || CAST(CAST(floor(doc_id / 8) AS BIGINT) % 8 AS STRING)"
-        " || CASE WHEN doc_id % 16 = 15 THEN 'b' ELSE '' END AS project_type,"
+        " CASE CAST(CAST(floor(doc_id / 8) AS BIGINT) % 8 AS INT) WHEN 0 THEN 'vue3' WHEN 1 THEN 'spring-boot'"
+        " WHEN 2 THEN 'react' WHEN 3 THEN 'nestjs' WHEN 4 THEN 'go' WHEN 5 THEN 'rust' WHEN 6 THEN 'python' ELSE 'unknown' END"
+        " || CASE WHEN doc_id % 16 = 15 THEN '-b' ELSE '' END AS project_type,"
+        " 'src' || CAST(CAST(floor(doc_id / 8) AS BIGINT) % 20 AS STRING) AS project, doc_id,"
         f" {layer} AS layer, {layer} || '-layer' AS file_stem, {body} AS content FROM documents"
     )
 
 
+def _full_docs(lit, f) -> str:
+    """Documents holding all layers, in the heading forms that occur."""
+    head = "CASE WHEN doc_id % 4 = 1 THEN '### ' ELSE '## ' END"
+    mark = "CASE WHEN doc_id % 4 = 2 THEN '' WHEN doc_id % 4 = 3 THEN '：Part ' || lang ELSE ' · Part ' || source END"
+    parts = ["'# Memory' || chr(10)"]
+    for n in range(1, 9):
+        drop = f"CASE WHEN doc_id % 9 = {n} THEN '' ELSE "
+        body = "text" if n == 3 else "'- line of ' || source || ' ' || lang"
+        parts.append(
+            f"{drop}{head} || 'L{n}' || {mark} || chr(10) || {body} || chr(10) END"
+        )
+    parts.append("CASE WHEN doc_id % 5 = 0 THEN '## L2 · Part again' || chr(10) || '- later ' || lang || chr(10) ELSE '' END")
+    parts.append(
+        "CASE WHEN doc_id % 3 = 0 THEN '```' || chr(10) || '## Notes inside' || chr(10) || '```' || chr(10)"
+        " || chr(10) || '---' || chr(10) || chr(10) || '## Notes' || chr(10) || source ELSE '' END"
+    )
+    return (
+        "SELECT doc_id, " + " || ".join(parts) + " AS content FROM documents"
+    )
+
+
+def _governed_docs(lit, f) -> str:
+    """Layer documents as a completion returns them, before they are cleaned."""
+    layer = "'L' || CAST(1 + doc_id % 8 AS STRING)"
+    nl = "chr(10)"
+    parts = [
+        f"'## ' || {layer} || ' · Layer' || {nl}",
+        f"CASE WHEN doc_id % 3 = 0 THEN {nl} || '### Scope' || {nl} || 'Owned by ' || source || {nl}"
+        f" WHEN doc_id % 3 = 1 THEN {nl} || '### Scope' || {nl} || {nl} ELSE '' END",
+        f"{nl} || '### Rules' || {nl} || '- keep names of ' || source || {nl} || text || {nl}",
+        f"'- 建议 move helpers of ' || lang || {nl} || '- maybe cache ' || source || {nl}",
+        f"CASE WHEN doc_id % 7 = 0 THEN 'continue exactly where the truncated response ended' || {nl} ELSE '' END",
+        f"'```ts' || {nl} || '// consider this' || {nl} || '```' || {nl}",
+        f"CASE WHEN doc_id % 4 = 0 THEN {nl} || '### Templates' || {nl} || '#### Good ' || lang || {nl} || 'const a = 1' || {nl}"
+        f" || '#### Bad' || {nl} || 'see example.com' || {nl}"
+        f" WHEN doc_id % 4 = 1 THEN {nl} || '### Template: Runner' || {nl} || 'run JaCoCo and SonarQube here' || {nl}"
+        f" WHEN doc_id % 4 = 2 THEN {nl} || '### Template: Hooks' || {nl} || 'const hook = 1' || {nl} ELSE '' END",
+        f"CASE WHEN doc_id % 5 <> 0 THEN {nl} || '### Anti-patterns' || {nl} || '- never inline ' || source || {nl} ELSE '' END",
+        f"CASE WHEN doc_id % 2 = 0 THEN {nl} || '### Gaps' || {nl} || '#### Observed Risks' || {nl} || '- None.' || {nl}"
+        f" || '- risk in ' || lang || {nl} || 'add tests for ' || source || {nl} ELSE '' END",
+    ]
+    return (
+        "SELECT 'skill' || CAST(CAST(floor(doc_id / 64) AS BIGINT) AS STRING) AS skill,"
+        " 'type' || CAST(CAST(floor(doc_id / 8) AS BIGINT) % 8 AS STRING) AS project_type,"
+        " 'src' || CAST(CAST(floor(doc_id / 8) AS BIGINT) % 20 AS STRING) AS project,"
+        f" {layer} AS layer, " + " || ".join(parts) + " AS content FROM documents"
+    )
+
+
 def _catalog(lit, f) -> str:
     """Every (source, lang) pair as a learned entry; ``k`` tells the halves apart."""
     return (
@@ -195,6 +246,8 @@ def _calls(lit, f) -> str:
 _VIEWS = {
     "v_files_raw": _files_raw,
     "v_layer_docs": _layer_docs,
+    "v_full_docs": _full_docs,
+    "v_governed_docs": _governed_docs,
     "v_catalog": _catalog,
     "v_calls": _calls,
 }
