@@ -444,8 +444,9 @@ def _numbered(rows: DataFrame, order: Sequence[str], mark: str) -> DataFrame:
     A reference has at most eight documents, so the window is bounded by them.
     """
     window = Window.partitionBy(*KEY).orderBy(*order)
-    digits = F.row_number().over(window).cast("string")
-    return rows.withColumn(
+    numbered = rows.withColumn("pos", F.row_number().over(window))
+    digits = F.col("pos").cast("string")
+    return numbered.withColumn(
         "id",
         F.concat_ws(
             "-",
@@ -474,6 +475,7 @@ def trace_rules(layer_docs: DataFrame, evidence: DataFrame) -> DataFrame:
     return numbered.select(
         *KEY,
         "id",
+        "pos",
         "layer",
         bare_bullet(F.col("text")).alias("text"),
         extract_tags(F.col("text")).alias("tags"),
@@ -503,10 +505,10 @@ def document_templates(layer_docs: DataFrame) -> DataFrame:
 def trace_templates(layer_docs: DataFrame, evidence: DataFrame) -> DataFrame:
     """Templates of all references with status, files and evidence ids."""
     rows = document_templates(layer_docs).select(
-        *KEY, "layer", "pos", "name", "status",
+        *KEY, "layer", F.col("pos").alias("doc_pos"), "name", "status",
         F.slice(file_refs(F.col("body")), 1, BORROWED_FILES).alias("files"),
     )
     linked = link_to_evidence(rows, layer_evidence(evidence))
-    return _numbered(linked, ["layer", "pos"], "t").select(
-        *KEY, "id", "layer", "name", "status", "files", "evidence_ids"
+    return _numbered(linked, ["layer", "doc_pos"], "t").select(
+        *KEY, "id", "pos", "layer", "name", "status", "files", "evidence_ids"
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("corpus", "documents")
+MODULES = ("corpus", "documents", "overview")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
