@@ -6,6 +6,7 @@ selection cuts salted slices first, so that one huge reference stays spread.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,8 +17,10 @@ from habitus.functions.paths import skill_path_parts
 from habitus.operators import documents as docs
 from habitus.operators import trace as tr
 from habitus.operators.documents import let
+from habitus.operators.evidence import evidence_stats
 from habitus.operators.skew import top_k
 from habitus.operators.trace import KEY
+from habitus.session import cut_lineage
 
 # How much is surfaced.
 TYPE_RULES_SHOWN = 20
@@ -220,12 +223,13 @@ def _first_of_equal(rules: DataFrame) -> DataFrame:
 
 
 def tagged_rules(
-    trace_rules: DataFrame, layer_docs: DataFrame, required: tuple[str, ...]
+    trace_rules: DataFrame, stated: DataFrame, required: tuple[str, ...]
 ) -> DataFrame:
     """(skill, project_type, at, text): rules with all required tags.
 
-    Traced rules count where a reference has any; documents are read for the
-    others.  Both tag languages count in a trace, the original ones in documents.
+    Traced rules count where a reference has any; the others take what their
+    documents state (``report_rules``).  Both tag languages count in a trace,
+    the original ones in documents.
     """
     tags = tr.normalize_tags(F.col("tags"))
     traced = trace_rules.filter(F.col("status") == "active").filter(
@@ -239,7 +243,6 @@ def tagged_rules(
     )
     cleaned = tagged.select(*KEY, at.alias("at"), tr.clean_line(F.col("text")).alias("text"))
     from_trace = _first_of_equal(cleaned.filter(tr.is_actionable(F.col("text"))))
-    stated = report_rules(layer_docs)
     wanted = reduce(
         lambda a, b: a & b, [F.array_contains("tags", t) for t in required]
     )
@@ -581,16 +584,37 @@ def document_counts(layer_docs: DataFrame) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class Surfaced:
+    """Short tables several reports read, each computed once and written out."""
+
+    raw_type: DataFrame
+    raw_hard: DataFrame
+    type_rules: DataFrame
+    hard_rules: DataFrame
+    anti: DataFrame
+    templates: DataFrame
+
+
+def surface(layer_docs: DataFrame, trace_rules: DataFrame, trace_templates: DataFrame) -> Surfaced:
+    """Rules, anti-patterns and templates of all references, documents read once each."""
+    stated = cut_lineage(report_rules(layer_docs))
+    raw_type = cut_lineage(tagged_rules(trace_rules, stated, TYPE_TAGS))
+    raw_hard = cut_lineage(tagged_rules(trace_rules, stated, HARD_TAGS))
+    return Surfaced(
+        raw_type,
+        raw_hard,
+        cut_lineage(select_top_rules(raw_type, TYPE_RULES_SHOWN)),
+        cut_lineage(select_top_rules(raw_hard, HARD_RULES_SHOWN)),
+        cut_lineage(anti_patterns(layer_docs)),
+        cut_lineage(select_top_templates(template_info(trace_templates, layer_docs))),
+    )
+
+
 def type_stats(
-    catalog: DataFrame,
-    layer_docs: DataFrame,
-    trace_rules: DataFrame,
-    trace_templates: DataFrame,
-    evidence: DataFrame,
+    catalog: DataFrame, layer_docs: DataFrame, surfaced: Surfaced, evidence: DataFrame
 ) -> DataFrame:
     """One row per learned type with everything the reports count."""
-    from habitus.operators.evidence import evidence_stats
-
     entries = catalog_types(catalog)
     heads = entries.groupBy(*KEY).agg(F.max("learn_count").alias("learn_count"))
     projects = (
@@ -603,12 +627,9 @@ def type_stats(
         .groupBy(*KEY)
         .agg(F.array_sort(F.collect_set("l")).alias("languages"))
     )
-    raw_type = tagged_rules(trace_rules, layer_docs, TYPE_TAGS)
-    raw_hard = tagged_rules(trace_rules, layer_docs, HARD_TAGS)
     count = lambda df, name: df.groupBy(*KEY).agg(F.count(F.lit(1)).alias(name))
-    shown = select_top_templates(template_info(trace_templates, layer_docs))
     visible = ~F.col("unsafe") & ~F.col("missing") & ~F.col("hidden")
-    by_template = shown.groupBy(*KEY).agg(
+    by_template = surfaced.templates.groupBy(*KEY).agg(
         F.count_if(visible).alias("templates"),
         F.count_if("hidden").alias("hidden_templates"),
         F.count_if("missing").alias("missing_templates"),
@@ -625,11 +646,11 @@ def type_stats(
     for side in (
         projects,
         langs,
-        count(raw_type, "raw_type_rules"),
-        count(select_top_rules(raw_type, TYPE_RULES_SHOWN), "type_rules"),
-        count(raw_hard, "raw_hard_rules"),
-        count(select_top_rules(raw_hard, HARD_RULES_SHOWN), "hard_rules"),
-        count(anti_patterns(layer_docs), "anti_patterns"),
+        count(surfaced.raw_type, "raw_type_rules"),
+        count(surfaced.type_rules, "type_rules"),
+        count(surfaced.raw_hard, "raw_hard_rules"),
+        count(surfaced.hard_rules, "hard_rules"),
+        count(surfaced.anti, "anti_patterns"),
         by_template,
         document_counts(layer_docs),
         stats,
@@ -706,17 +727,11 @@ def quality_checks(totals_row: DataFrame, cross: DataFrame) -> DataFrame:
 
 
 def master_overview(
-    catalog: DataFrame,
-    layer_docs: DataFrame,
-    trace_rules: DataFrame,
-    trace_templates: DataFrame,
-    stats: DataFrame,
+    catalog: DataFrame, layer_docs: DataFrame, surfaced: Surfaced, stats: DataFrame
 ) -> DataFrame:
     """(skill, section, project_type, ord, payload): the entry page as rows."""
-    type_rules = select_top_rules(tagged_rules(trace_rules, layer_docs, TYPE_TAGS), TYPE_RULES_SHOWN)
-    hard_rules = select_top_rules(tagged_rules(trace_rules, layer_docs, HARD_TAGS), HARD_RULES_SHOWN)
-    anti = anti_patterns(layer_docs)
-    shown = select_top_templates(template_info(trace_templates, layer_docs)).filter(
+    type_rules, hard_rules, anti = surfaced.type_rules, surfaced.hard_rules, surfaced.anti
+    shown = surfaced.templates.filter(
         ~F.col("unsafe") & ~F.col("missing") & ~F.col("hidden")
     )
     texts = surfaced_texts(type_rules, hard_rules, anti)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from habitus.operators import documents as docs
 from habitus.operators import trace as tr
 from habitus.operators import verify as vf
+from habitus.session import cut_lineage
 from workload import corpus
 from workload import sqltext as s
 from workload.sqltext import q, rx, sub, trim
@@ -160,8 +161,8 @@ def layer_evidence(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _trace(spark: SparkSession, sf: str):
-    d, e = layer_docs(spark, sf), doc_evidence(spark, sf)
-    return d, tr.trace_rules(d, e), tr.trace_templates(d, e)
+    d, e = layer_docs(spark, sf), cut_lineage(doc_evidence(spark, sf))
+    return d, cut_lineage(tr.trace_rules(d, e)), cut_lineage(tr.trace_templates(d, e))
 
 
 def _manifest(spark: SparkSession, sf: str) -> DataFrame:
@@ -197,7 +198,9 @@ def verify(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def inspect(spark: SparkSession, sf: str) -> DataFrame:
-    return vf.inspect(_manifest(spark, sf), _verify(spark, sf), "l4").select(
+    parts = _trace(spark, sf)
+    report = vf.verify(*parts, _llm(spark, sf))
+    return vf.inspect(vf.layer_manifest(*parts), report, "l4").select(
         *KEY, "layer", "rule_count", "template_count", "ok",
         F.col("warnings").cast("bigint").alias("warnings"), F.col("errors").cast("bigint").alias("errors"),
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from habitus.operators import overview as ov
 from habitus.operators import trace as tr
+from habitus.session import cut_lineage
 from workload import documents as wd
 from workload import sqltext as s
 from workload.documents import KEY
@@ -21,9 +22,10 @@ CONCERNS = [
 ]
 
 
-def _trace(spark: SparkSession, sf: str) -> DataFrame:
+def _trace(spark: SparkSession, sf: str, evidence: DataFrame | None = None) -> DataFrame:
     """Traces whose rules of every second reference carry tags."""
-    rules = tr.trace_rules(wd.layer_docs(spark, sf), wd.doc_evidence(spark, sf))
+    found = wd.doc_evidence(spark, sf) if evidence is None else evidence
+    rules = tr.trace_rules(wd.layer_docs(spark, sf), found)
     even = F.substring("skill", 6, 9).cast("int") % 2 == 0
     tags = (
         F.when(even & (F.col("pos") % 5 == 0), F.array(F.lit("[Must]")))
@@ -57,12 +59,10 @@ def report_rules(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _tagged(spark: SparkSession, sf: str, tags: tuple[str, ...]) -> DataFrame:
-    return ov.tagged_rules(_trace(spark, sf), wd.layer_docs(spark, sf), tags)
-
-
 def tagged_rules(spark: SparkSession, sf: str) -> DataFrame:
-    part = lambda tags, kind: _tagged(spark, sf, tags).select(*KEY, F.lit(kind).alias("kind"), "text")
+    rules = cut_lineage(_trace(spark, sf))
+    stated = cut_lineage(ov.report_rules(wd.layer_docs(spark, sf)))
+    part = lambda tags, kind: ov.tagged_rules(rules, stated, tags).select(*KEY, F.lit(kind).alias("kind"), "text")
     return part(ov.TYPE_TAGS, "type").unionByName(part(ov.HARD_TAGS, "hard"))
 
 
@@ -120,7 +120,7 @@ def never_do(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _texts(spark: SparkSession, sf: str) -> DataFrame:
-    rules = ov.select_top_rules(_all_rules(spark, sf), ov.TYPE_RULES_SHOWN)
+    rules = cut_lineage(ov.select_top_rules(_all_rules(spark, sf), ov.TYPE_RULES_SHOWN))
     anti = ov.anti_patterns(wd.layer_docs(spark, sf))
     return ov.surfaced_texts(rules, rules.filter(F.col("position") <= 3), anti)
 
@@ -156,31 +156,36 @@ def document_counts(spark: SparkSession, sf: str) -> DataFrame:
     return ov.document_counts(wd.layer_docs(spark, sf))
 
 
-def _stats(spark: SparkSession, sf: str) -> DataFrame:
-    d, e = wd.layer_docs(spark, sf), wd.doc_evidence(spark, sf)
-    return ov.type_stats(_catalog(spark, sf), d, _trace(spark, sf), tr.trace_templates(d, e), e)
+def _reports(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, ov.Surfaced, DataFrame]:
+    """Documents, catalog, surfaced tables and type rows, shared inputs written once."""
+    d, e = wd.layer_docs(spark, sf), cut_lineage(wd.doc_evidence(spark, sf))
+    surfaced = ov.surface(
+        d, cut_lineage(_trace(spark, sf, e)), cut_lineage(tr.trace_templates(d, e))
+    )
+    catalog = _catalog(spark, sf)
+    return d, catalog, surfaced, ov.type_stats(catalog, d, surfaced, e)
 
 
 def type_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return _stats(spark, sf).withColumn("languages", F.array_join("languages", "|"))
+    return _reports(spark, sf)[3].withColumn("languages", F.array_join("languages", "|"))
 
 
 def quality_totals(spark: SparkSession, sf: str) -> DataFrame:
-    return ov.totals(_stats(spark, sf), _catalog(spark, sf))
+    _, catalog, _, stats = _reports(spark, sf)
+    return ov.totals(stats, catalog)
 
 
 def quality_checks(spark: SparkSession, sf: str) -> DataFrame:
+    _, catalog, _, stats = _reports(spark, sf)
     cross = ov.cross_type_patterns(_texts(spark, sf), CONCERNS)
-    return ov.quality_checks(ov.totals(_stats(spark, sf), _catalog(spark, sf)), cross).withColumn(
+    return ov.quality_checks(ov.totals(stats, catalog), cross).withColumn(
         "ord", F.col("ord").cast("bigint")
     )
 
 
 def master_overview(spark: SparkSession, sf: str) -> DataFrame:
-    d, e = wd.layer_docs(spark, sf), wd.doc_evidence(spark, sf)
-    return ov.master_overview(
-        _catalog(spark, sf), d, _trace(spark, sf), tr.trace_templates(d, e), _stats(spark, sf)
-    )
+    d, catalog, surfaced, stats = _reports(spark, sf)
+    return ov.master_overview(catalog, d, surfaced, stats)
 
 
 QUERIES = {
