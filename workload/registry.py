@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("corpus", "documents", "overview")
+MODULES = ("corpus", "documents", "overview", "learning", "drafts")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
