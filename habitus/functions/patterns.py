@@ -12,6 +12,8 @@ form ``rlike`` / ``regexp_*`` need so that both notations agree:
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,9 @@ from pyspark.sql import functions as F
 SPACE_CLASS = (
     r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 )
+SPACE_CHARS = "\t\n\x0b\f\r \u00a0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(
+    chr(c) for c in range(0x2000, 0x200B)
+)
 # The same set without the newline, for tests that must stay on one line.
 INLINE_SPACE_CLASS = SPACE_CLASS.replace(r"\n", "")
 WORD_EDGE = (
@@ -136,6 +141,29 @@ def replace(column: Column, pattern: str, by: str, flags: str = "") -> Column:
     return F.regexp_replace(column, java(pattern, flags), by)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it several times inside one expression."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def replace_where(
+    column: Column, needed: tuple[str, ...], pattern: str, by: str, flags: str = ""
+) -> Column:
+    """``replace``, run only on texts that hold one of the ``needed`` literals.
+
+    Every match must contain one of them; the search for them is a plain byte
+    comparison, many times cheaper than the pattern.
+    """
+
+    def guarded(text: Column) -> Column:
+        present = F.contains(text, F.lit(needed[0]))
+        for literal in needed[1:]:
+            present = present | F.contains(text, F.lit(literal))
+        return F.when(present, replace(text, pattern, by, flags)).otherwise(text)
+
+    return let(column, guarded)
+
+
 def extract_all(column: Column, pattern: str, group: int, flags: str = "") -> Column:
     return F.regexp_extract_all(column, F.lit(java(pattern, flags)), F.lit(group))
 
@@ -149,16 +177,29 @@ def extract(column: Column, pattern: str, group: int, flags: str = "") -> Column
 
 
 def trim(column: Column) -> Column:
-    """Strip Unicode white space from both ends."""
-    return F.regexp_replace(
-        column, rf"^[{SPACE_CLASS}]+|[{SPACE_CLASS}]+\z", ""
-    )
+    """Strip Unicode white space from both ends, on bytes."""
+    return F.btrim(column, F.lit(SPACE_CHARS))
 
 
 def trim_end(column: Column) -> Column:
-    return F.regexp_replace(column, rf"[{SPACE_CLASS}]+\z", "")
+    return F.rtrim(column, F.lit(SPACE_CHARS))
 
 
 def squeeze(column: Column) -> Column:
-    """Collapse runs of white space to one space."""
-    return F.regexp_replace(column, rf"[{SPACE_CLASS}]+", " ")
+    """Collapse runs of white space to one space.
+
+    Most texts have single plain spaces only; a byte search tells.
+    """
+    uneven = ("  ", *[c for c in SPACE_CHARS if c != " "])
+    return replace_where(column, uneven, r"\s+", " ")
+
+
+def replace_at(column: Column, first: str, pattern: str, by: str, flags: str = "") -> Column:
+    """``replace`` for patterns anchored at the start, run only where the text
+    starts with one of the characters in ``first``."""
+    return let(
+        column,
+        lambda text: F.when(
+            F.left(text, F.lit(1)).isin(*first), replace(text, pattern, by, flags)
+        ).otherwise(text),
+    )

@@ -9,13 +9,12 @@ is no line start for the cutting patterns.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from habitus.functions import patterns as rx
 from habitus.functions.paths import LAYERS
+from habitus.functions.patterns import let
 
 # Section names and their headings, in order of preference.
 SECTION_ALIASES = {
@@ -82,11 +81,6 @@ _GROUP = (
 _CANDIDATE = rf"{_S}*(?:####{_S}+[^{rx.SPACE_CLASS}].*|\*\*.+?\*\*{_S}*)$"
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it several times inside one expression."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def lines(text: Column) -> Column:
     return F.split(text, "\n")
 

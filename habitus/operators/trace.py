@@ -53,8 +53,18 @@ RULE_SECTIONS = ("Rules", "规则", "约定", "Conventions")
 # ------------------------------------------------------------ text helpers
 
 
+COLONS = ("：", ":")
+LIST_STARTS = "-*0123456789"
+
+
 def strip_strong(text: Column) -> Column:
-    return F.regexp_replace(text, r"(^|[^/])\*\*", "$1")
+    return rx.replace_where(text, ("**",), r"(^|[^/])\*\*", "$1")
+
+
+def _without_notes(text: Column, bracketed: bool) -> Column:
+    """Without evidence notes; each holds a colon."""
+    text = rx.replace_where(text, COLONS, STARRED_EVIDENCE, " ", "i")
+    return rx.replace_where(text, ("(", "（"), BRACKETED_EVIDENCE, " ", "i") if bracketed else text
 
 
 def normalize(text: Column) -> Column:
@@ -91,50 +101,51 @@ def file_refs(text: Column) -> Column:
     return F.array_distinct(rx.extract_all(text, FILE_REF, 1))
 
 
+def _plain_brackets(text: Column) -> Column:
+    return rx.replace_where(text, ("【", "】"), "[【】]", " ")
+
+
+def _without_marker(text: Column) -> Column:
+    return rx.replace_at(text, LIST_STARTS, r"^(?:[-*]|\d+\.)\s+", "")
+
+
 def clean_body(text: Column) -> Column:
     """Body text of a rule without marks, tags and evidence notes."""
-    text = F.regexp_replace(strip_strong(text), rf"{_sp('*')}{ZH_TAGS}{_sp('*')}", " ")
-    text = F.regexp_replace(text, "[【】]", " ")
-    text = rx.replace(text, STARRED_EVIDENCE, " ", "i")
-    text = rx.replace(text, BRACKETED_EVIDENCE, " ", "i")
-    return rx.trim(rx.squeeze(text))
+    text = rx.replace_where(strip_strong(text), ("[",), rf"\s*{ZH_TAGS}\s*", " ")
+    return rx.trim(rx.squeeze(_without_notes(_plain_brackets(text), bracketed=True)))
 
 
 def clean_title(text: Column) -> Column:
-    text = F.regexp_replace(strip_strong(text), r"^\*\*(.+?)\*\*\z", "$1")
-    text = rx.replace(text, r"^(?:[-*]|\d+\.)\s+", "")
-    text = rx.replace(text, r"\s*\[[^\]]+\]\s*", " ")
-    text = rx.replace(text, r"^#+\s+", "")
+    text = rx.replace_at(strip_strong(text), "*", r"^\*\*(.+?)\*\*$", "$1")
+    text = _without_marker(text)
+    text = rx.replace_where(text, ("[",), r"\s*\[[^\]]+\]\s*", " ")
+    text = rx.replace_at(text, "#", r"^#+\s+", "")
     return rx.squeeze(rx.trim(text))
 
 
 def clean_rule(text: Column) -> Column:
     """Final text of a trace rule."""
-    text = rx.replace(text, rf"\s*{ALL_TAGS}\s*", " ", "i")
-    text = rx.replace(text, STARRED_EVIDENCE, " ", "i")
-    text = rx.squeeze(text)
-    text = rx.replace(text, r"([：:])\s*\1+", "$1")
-    text = rx.replace(text, r"^[\s：:]+", "")
-    text = rx.trim(rx.replace(text, r"^\[['\"][^\]]+\][：:]\s*", ""))
-    return rx.replace(text, r"^(.{2,80})[：:]\s*\1[：:]", "$1:")
+    text = rx.replace_where(text, ("[",), rf"\s*{ALL_TAGS}\s*", " ", "i")
+    text = rx.squeeze(_without_notes(text, bracketed=False))
+    text = rx.replace_where(text, COLONS, r"([：:])\s*\1+", "$1")
+    text = rx.replace_at(text, "：:" + rx.SPACE_CHARS, r"^[\s：:]+", "")
+    text = rx.trim(rx.replace_at(text, "[", r"^\[['\"][^\]]+\][：:]\s*", ""))
+    return rx.replace_where(text, COLONS, r"^(.{2,80})[：:]\s*\1[：:]", "$1:")
 
 
 def clean_line(text: Column) -> Column:
     """Rule or anti-pattern line as reports show it (D6, overview form)."""
-    text = F.regexp_replace(rx.trim(strip_strong(text)), r"^\*\*(.+?)\*\*\z", "$1")
-    text = rx.replace(text, r"^(?:[-*]|\d+\.)\s+", "")
-    text = rx.replace(text, r"^#{1,6}\s+", "")
-    text = rx.replace(text, rf"\s*{ALL_TAGS}\s*", " ", "i")
-    text = F.regexp_replace(text, "[【】]", " ")
-    text = rx.replace(text, STARRED_EVIDENCE, " ", "i")
-    text = rx.replace(text, BRACKETED_EVIDENCE, " ", "i")
-    text = rx.trim(F.regexp_replace(text, r"^\[(.+)\]\z", "$1"))
-    text = rx.trim(rx.replace(text, r"^(?:(?:[-*]|\d+\.)\s+)+", ""))
-    text = rx.replace(text, r"\s+([：:])\s*", "$1")
-    text = rx.replace(text, r"([：:])\s*[：:]+", "$1")
-    text = rx.replace(text, r"^(.{2,80})[：:]\s*\1[：:]", "$1:")
-    text = rx.replace(text, r"^[\s：:]+", "")
-    text = rx.replace(text, r"^\[['\"][^\]]+\][：:]\s*", "")
+    text = rx.replace_at(rx.trim(strip_strong(text)), "*", r"^\*\*(.+?)\*\*$", "$1")
+    text = rx.replace_at(_without_marker(text), "#", r"^#{1,6}\s+", "")
+    text = rx.replace_where(text, ("[",), rf"\s*{ALL_TAGS}\s*", " ", "i")
+    text = _without_notes(_plain_brackets(text), bracketed=True)
+    text = rx.trim(rx.replace_at(text, "[", r"^\[(.+)\]$", "$1"))
+    text = rx.trim(rx.replace_at(text, LIST_STARTS, r"^(?:(?:[-*]|\d+\.)\s+)+", ""))
+    text = rx.replace_where(text, COLONS, r"\s+([：:])\s*", "$1")
+    text = rx.replace_where(text, COLONS, r"([：:])\s*[：:]+", "$1")
+    text = rx.replace_where(text, COLONS, r"^(.{2,80})[：:]\s*\1[：:]", "$1:")
+    text = rx.replace_at(text, "：:" + rx.SPACE_CHARS, r"^[\s：:]+", "")
+    text = rx.replace_at(text, "[", r"^\[['\"][^\]]+\][：:]\s*", "")
     return rx.trim(rx.squeeze(text))
 
 
@@ -143,12 +154,11 @@ def _sp(count: str) -> str:
 
 
 def is_observation(text: Column) -> Column:
-    """A remark about evidence or absence, not a rule."""
-    return (
-        text.rlike("^⚠️")
-        | text.rlike(r"(?i)\[待验证\]|To Verify")
-        | rx.test(text, r"^\*?\s*(?:证据|Evidence)[：:]", "i")
-        | rx.test(text, ABSENCE_WORDS)
+    """A remark about evidence or absence, not a rule (D9); one pass over the text."""
+    return rx.test(
+        text,
+        r"^⚠️|\[待验证\]|(?:[Tt][Oo]) [Vv][Ee][Rr][Ii][Ff][Yy]"
+        rf"|^\*?\s*(?:证据|[Ee][Vv][Ii][Dd][Ee][Nn][Cc][Ee])[：:]|{ABSENCE_WORDS}",
     )
 
 
@@ -246,21 +256,8 @@ def _rest_of(block: Column, clean) -> Column:
     """Cleaned continuation lines of a block, observations and blanks dropped."""
 
     def body(line: Column) -> Column:
-        return clean(
-            rx.trim(
-                rx.replace(
-                    rx.trim(
-                        rx.replace(
-                            F.regexp_replace(line, r"^\*\*(.+?)\*\*\z", "$1"),
-                            r"^(?:[-*]|\d+\.)\s+",
-                            "",
-                        )
-                    ),
-                    r"^[-*]\s+",
-                    "",
-                )
-            )
-        )
+        bare = _without_marker(rx.replace_at(line, "*", r"^\*\*(.+?)\*\*$", "$1"))
+        return clean(rx.trim(rx.replace_at(rx.trim(bare), "-*", r"^[-*]\s+", "")))
 
     trimmed = F.transform(F.slice(block, 2, F.greatest(F.size(block), F.lit(1))), rx.trim)
     code = F.filter(trimmed, lambda l: (l != "") & ~F.startswith(l, F.lit("```")))
