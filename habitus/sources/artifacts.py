@@ -56,11 +56,13 @@ def _place(path: Column) -> list[Column]:
 
 
 def _whole_files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """Whole file texts, final line break included; hidden folders are left out."""
     return (
-        spark.read.option("wholetext", "true")
+        spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", pattern)
-        .text(root)
+        .load(root)
+        .select(F.col("content").cast("string").alias("value"), "_metadata")
     )
 
 
