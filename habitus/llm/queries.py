@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from habitus.llm.quality_classifier import quality_scores
 from habitus.llm.quality_rules import quality_rules
-from habitus.llm.tables import table
+from habitus.llm.tables import table, written
 from habitus.llm.token_counts import token_counts
+from habitus.llm.toxicity import toxicity
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -23,6 +26,19 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def fold(id_col: str, folds: int) -> Column:
+    """crc32 of the id as text, modulo ``folds``; a null id is in fold 0."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds, F.lit(0))
+
+
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = fold("doc_id", 4) == 2
+    scores, _ = toxicity(docs, labels, ~held, written)
+    return scores.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 @query
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -34,3 +50,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept",
     )
+
+
+@query
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = fold("doc_id", 3) == 1
+    scores, _ = quality_scores(docs, labels, ~held, written)
+    return scores.select("doc_id", held.alias("held_out"), "score", "predicted")
