@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from habitus.llm.mixing import mix
 from habitus.llm.quality_classifier import quality_scores
 from habitus.llm.quality_rules import quality_rules
-from habitus.llm.tables import table, written
+from habitus.llm.tables import shared_folder, table, written
 from habitus.llm.token_counts import token_counts
 from habitus.llm.toxicity import toxicity
+from habitus.llm.warc import read_records, write_archives
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -58,3 +60,38 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = fold("doc_id", 3) == 1
     scores, _ = quality_scores(docs, labels, ~held, written)
     return scores.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+@query
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, _, _ = mix(table(spark, sf_dir, "documents"), written)
+    return documents.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    folder = shared_folder(spark)
+    index = written(write_archives(pages, f"{folder}/archives"), "index")
+    kind = pages.schema["page_id"].dataType
+    return read_records(index, f"{folder}/archives", payloads=False).select(
+        F.when(F.col("page_id") != "None", F.col("page_id")).cast(kind).alias("page_id"),
+        "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to").cast(kind).alias("refers_to"),
+    )
+
+
+ORACLES["op5_warc"] = """
+with hashed as (
+    select page_id, coalesce(html, '') as body, sha1(coalesce(html, '')) as h,
+           min(page_id) over (partition by coalesce(html, '')) as first
+    from pages
+)
+select page_id, strlen(body) as payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + cast(((cast('0x' || substr(h, 1 + 5 * cast(i // 4 as integer), 5) as bigint)
+               >> (15 - 5 * (i % 4))) & 31) as integer), 1)), '') as payload_digest,
+       case when page_id = first then 'response' else 'revisit' end as record_type,
+       case when page_id = first then null else first end as refers_to
+from hashed
+"""
