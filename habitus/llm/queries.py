@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from habitus.llm.mixing import mix
 from habitus.llm.quality_classifier import quality_scores
 from habitus.llm.quality_rules import quality_rules
+from habitus.llm.secrets import secret_scan
 from habitus.llm.tables import shared_folder, table, written
 from habitus.llm.token_counts import token_counts
 from habitus.llm.toxicity import toxicity
@@ -95,3 +96,8 @@ select page_id, strlen(body) as payload_bytes,
        case when page_id = first then null else first end as refers_to
 from hashed
 """
+
+
+@query
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(table(spark, sf_dir, "documents"), written)
