@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from habitus.llm.jaccard_join import jaccard_components
 from habitus.llm.mixing import mix
 from habitus.llm.quality_classifier import quality_scores
 from habitus.llm.quality_rules import quality_rules
@@ -101,3 +102,8 @@ from hashed
 @query
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"), written)
+
+
+@query
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), written)
