@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from habitus.llm.decontaminate import contaminated
 from habitus.llm.jaccard_join import jaccard_components
 from habitus.llm.mixing import mix
 from habitus.llm.quality_classifier import quality_scores
@@ -107,3 +108,10 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), written)
+
+
+@query
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), written
+    ).drop("key")
