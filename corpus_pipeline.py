@@ -5,10 +5,53 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from habitus.llm.tables import shared_folder
+from habitus.llm.decontaminate import decontaminated
+from habitus.llm.jaccard_join import one_of_each
+from habitus.llm.mixing import mix
+from habitus.llm.queries import fold
+from habitus.llm.secrets import mask_secrets
+from habitus.llm.tables import shared_folder, table, written
+from habitus.llm.toxicity import toxicity
 
-STAGES: list = []
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity models do not predict as toxic."""
+    labels = table(spark, sf_dir, "labels")
+    _, model = toxicity(docs, labels, fold("doc_id", 4) != 2, written)
+    return docs.filter(model.score(model.evidence(docs)) < 0.3)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of every group of exact and near copies."""
+    return one_of_each(docs, written)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminated(docs, table(spark, sf_dir, "benchmark"), written)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets in their texts masked and ``n_chars`` counted anew."""
+    masked = mask_secrets(docs, written)
+    kind = docs.schema["n_chars"].dataType
+    return masked.withColumn("n_chars", F.length("text").cast(kind)).select(*docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix of sources takes."""
+    return mix(docs, written)[0]
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("ngram_jaccard", without_near_copies),
+    ("decontamination", without_benchmark),
+    ("secret_scans", without_secrets),
+    ("mixing", mixed),
+]
 #: The stages learn models and draw pseudorandom numbers, which SQL cannot state.
 ORACLE_SQL = None
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from habitus.llm.decontaminate import contaminated
+from habitus.llm.html_text import html_text
 from habitus.llm.jaccard_join import jaccard_components
 from habitus.llm.mixing import mix
 from habitus.llm.quality_classifier import quality_scores
@@ -115,3 +116,8 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), written
     ).drop("key")
+
+
+@query
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text(table(spark, sf_dir, "pages"))
