@@ -48,6 +48,8 @@ CLOSES = {
 }
 #: Elements that an unmatched closing tag never reaches through.
 FENCES = frozenset(("table", "td", "th", "caption", "button", "object", "template"))
+#: Formatting elements: one that a block was opened in ends without ending the block.
+FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
 MAX_DEPTH = 400
 
 #: Marked sections, which HTML reads as comments up to the next ">".
@@ -112,7 +114,9 @@ class TreeBuilder(HTMLParser):
         for at in range(len(self.open) - 1, 0, -1):
             name = self.open[at].tag
             if name == tag:
-                self.close_to(at)
+                inside = (node.tag for node in self.open[at + 1 :])
+                if tag not in FORMATTING or not any(name in BLOCK for name in inside):
+                    self.close_to(at)
                 return
             if name in FENCES and tag not in ("table", "tr", "tbody", "thead", "tfoot"):
                 return

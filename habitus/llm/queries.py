@@ -121,3 +121,83 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text(table(spark, sf_dir, "pages"))
+
+
+ORACLES["op6_quality_rules"] = r"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+w as (
+    select doc_id, t,
+           list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws,
+           list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls
+    from d
+),
+grams as (
+    select doc_id, i, array_to_string(ws[i:i + 4], ' ') as gram
+    from (select doc_id, ws, unnest(range(1, len(ws) - 3)) as i from w where len(ws) >= 5)
+),
+twice as (select doc_id, gram from grams group by all having count(*) > 1),
+covered as (
+    select doc_id, count(distinct i + k) as n
+    from grams join twice using (doc_id, gram), (select unnest(range(0, 5)) as k)
+    group by doc_id
+),
+m as (
+    select w.doc_id, len(ws) as n_words, length(array_to_string(ws, '')) as word_chars,
+           length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) as n_symbols,
+           len(ls) - len(list_distinct(ls)) as n_dup_lines,
+           coalesce(c.n, 0) as n_repeat_words,
+           length(regexp_replace(t, '[^A-Z]+', '', 'g')) as n_upper,
+           length(regexp_replace(t, '[^!]+', '', 'g')) as n_exclaimed,
+           len(list_filter(ws, lambda x: lower(x) in (
+               'the','of','and','to','in','is','that','it','for','was','on','as','with','be','by',
+               'at','this','from','or','an','are','not','le','la','les','de','des','du','un','une',
+               'et','est','en','que','qui','dans','pour','pas','sur','au','avec','par','il','elle',
+               'der','die','das','und','ist','von','zu','den','mit','im','nicht','ein','eine','auf',
+               'dem','sich','es','als','auch','el','los','las','y','del','se','por','con','para',
+               'su','al','lo','como','más','o','pero','sus'))) as n_stop,
+           len(ls) as n_lines,
+           len(list_filter(ls, lambda x: regexp_matches(x, '^\s*[-*•]\s'))) as n_bullets,
+           len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|…)\s*$'))) as n_cut_lines
+    from w left join covered c using (doc_id)
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
+       not (n_words < 10 or 100 * n_repeat_words > 20 * n_words)
+       and not (word_chars / n_words < 1.5 or word_chars / n_words > 15)
+       and not n_symbols / n_words > 0.25
+       and not (n_words >= 50 and n_stop / n_words < 0.01)
+       and not (word_chars >= 50 and n_upper / word_chars > 0.5)
+       and not n_exclaimed / n_words > 0.6
+       and not (n_lines >= 4 and (n_dup_lines / n_lines > 0.5 or n_bullets / n_lines > 0.9
+                                  or n_cut_lines / n_lines > 0.5)) as kept
+from m
+"""
+
+ORACLES["op9_ngram_jaccard"] = r"""
+with recursive w as (
+    select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws
+    from documents
+),
+s as (
+    select distinct doc_id, array_to_string(ws[i:i + 4], ' ') as gram
+    from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) as i from w where len(ws) > 0)
+),
+n as (select doc_id, count(*) as n from s group by doc_id),
+c as (
+    select a.doc_id as x, b.doc_id as y, count(*) as c
+    from s a join s b on a.gram = b.gram and a.doc_id < b.doc_id group by all
+),
+l as (
+    select x, y from c join n nx on nx.doc_id = x join n ny on ny.doc_id = y
+    where 100 * c >= 80 * (nx.n + ny.n - c)
+),
+way as (select x, y from l union all select y, x from l),
+reach(doc_id, r) as (
+    select doc_id, doc_id from documents
+    union
+    select reach.doc_id, way.y from reach join way on way.x = reach.r
+)
+select doc_id, coalesce(max(n), 0) as n_shingles, min(r) as component_id
+from reach left join n using (doc_id) group by doc_id
+"""
