@@ -161,7 +161,8 @@ def fit(docs: DataFrame, learned: DataFrame, id_col: str = "doc_id", text_col: s
     narrow = docs.select(
         F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     )
-    labelled = only_ids(narrow, learned, "id").join(learned, "id")
+    # The hint keeps one plan at every size; only labelled texts are shuffled.
+    labelled = only_ids(narrow, learned, "id").join(learned.hint("shuffle_hash"), "id")
     counts = count_expressions(labelled)
     ratios = np.concatenate([log_ratios(counts[:, :BUCKETS]), log_ratios(counts[:, BUCKETS:])])
     return ToxicityModel(ratios)
