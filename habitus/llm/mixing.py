@@ -27,6 +27,7 @@ from habitus.llm.words import mix as hash64
 
 BLOCK_WORDS = 64
 SHARD_BLOCKS = 8192
+SLOTS_PER_TASK = 500_000
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 PASSES = 2
@@ -154,7 +155,10 @@ def mixed_blocks(spark, plan: Recipe, seed: int = 0, shard_blocks: int = SHARD_B
         key = hash64((source.astype(np.uint64) << np.uint64(20)) + turn.astype(np.uint64)) + np.uint64(seed)
         return pd.DataFrame({"pass": turn.astype(np.int32), "block": permuted(number % size, size, key)})
 
-    slots = numbered.select(
+    # A few rows per shard become thousands of slots: spread them by what they become.
+    total = int(plan.targets.sum()) // BLOCK_WORDS
+    spread = numbered.repartition(1 + total // SLOTS_PER_TASK, "source_no", "shard")
+    slots = spread.select(
         "source_no", "shard", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("slot")
     )
     placed = slots.withColumn("at", place("source_no", "slot"))
@@ -226,15 +230,17 @@ def mix(
             F.least((F.col("block") + 1) * BLOCK_WORDS, F.col("first") + F.col("size")) - F.col("first")
         ).alias("end"),
     )
-    slots = mixed_blocks(spark, plan, seed)
+    # Spark guesses the slots' size from the shards', far too low: never broadcast them.
+    slots = mixed_blocks(spark, plan, seed).hint("merge")
     blocks = cut.join(slots, ["source_no", "block"]).select(
         "shard", "slot", "pass", "source_no", "block", "id", "begin", "end"
     )
-    uses = slots.groupBy("source_no", "block").agg(F.count("*").alias("uses"))
+    uses = slots.groupBy("source_no", "block").agg(F.count("*").alias("uses")).hint("merge")
     taken = (
         cut.join(uses, ["source_no", "block"])
         .groupBy("row")
         .agg(F.sum((F.col("end") - F.col("begin")) * F.col("uses")).alias("taken"))
+        .hint("merge")
     )
     amounts = spark.createDataFrame(
         [
