@@ -116,7 +116,7 @@ def battery(token: Column) -> Column:
         alphabet, ordinary = per(0), per(1)
         n = F.length(body).cast("double")
         width = F.length(alphabet).cast("double")
-        values = F.transform(F.split(body, "(?!^)"), lambda c: F.position(c, alphabet))
+        values = F.transform(F.split(body, "(?!^)(?!$)"), lambda c: F.position(c, alphabet))
 
         def measured(v: Column) -> Column:
             add = lambda acc, x: acc + x
