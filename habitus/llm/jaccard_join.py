@@ -19,8 +19,14 @@ number of classes grows with ``n``: sets of neighbouring size steps (factor
 
 Equal sets are one class of documents.  Candidates are verified in two rounds
 so that no group of copies is expanded into pairs: first everything that shares
-a signature with its smallest member; then only sets that share a signature and
-are still in different components.
+a signature with its first member, the one with the fewest shingles of its own;
+then only sets that share a signature and are still in different components.
+
+A pair is verified only if it can reach the similarity.  Whatever is common and
+in the prefix that ends first is in both prefixes: at most the smaller number of
+rare ones that occur elsewhere too, plus the common frequent ones, of which each
+set carries the first ``CARRIED``.  The rest of the overlap is at most what stands
+behind the prefix that ends first.
 """
 
 from __future__ import annotations
@@ -48,6 +54,7 @@ COMPARED = 5
 #: Partners of one set that one task compares.
 PARTNERS = 500
 SIZE_STEP = 1.25
+HEADS, CARRIED = 16, 48
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -76,9 +83,16 @@ def shingle_sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
                 yield begin + k, shingles[edges[k] : edges[k + 1]]
 
 
-def class_of(shingles: np.ndarray) -> int:
+def class_of(shingles: np.ndarray, level: np.ndarray) -> int:
+    """Number of a set: a 60-bit digest below a measure of its rare shingles.
+
+    Copies with edits have shingles much rarer than their median one; the text
+    they were made from has none.  So the smallest number of a group is its
+    most central set.
+    """
+    own = int((level.astype(np.int64) + 3 < np.median(level)).sum()).bit_length()
     digest = hashlib.blake2b(shingles.tobytes(), digest_size=8).digest()
-    return int.from_bytes(digest, "little", signed=True)
+    return min(own, 7) << 60 | int.from_bytes(digest, "little") >> 4
 
 
 def frequency_levels(docs: DataFrame) -> tuple[np.ndarray, int]:
@@ -131,17 +145,27 @@ def frequency_levels(docs: DataFrame) -> tuple[np.ndarray, int]:
     return levels.ravel(), math.ceil(2 * math.log2(32 + 4 * mean))
 
 
-def signatures(shingles: np.ndarray, levels: np.ndarray, frequent: int) -> np.ndarray:
-    """Signature hashes of one set; none for fewer than two shingles."""
+def _place(level: np.ndarray, ordered: np.ndarray, length: int) -> int:
+    """Where the global order stands at the end of a prefix, as a positive number."""
+    return int(level[length - 1]) << 56 | int(ordered[length - 1]) >> 8
+
+
+def signatures(
+    shingles: np.ndarray, level: np.ndarray, frequent: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(rare shingles, hashes of frequent pairs, frequent shingles, last place) of one prefix.
+
+    A set of fewer than two shingles has none: it is linked to equal sets only.
+    """
     n = len(shingles)
+    none = np.empty(0, np.uint64)
     if n < 2:
-        return np.empty(0, np.uint64)
+        return none, none, none, 0
     need = n - (PERCENT * n + 99) // 100 + 1
-    level = levels[(shingles & np.uint64(COUNTERS - 1)).astype(np.int64)]
     order = np.lexsort((shingles, level))
     ordered, often = shingles[order], level[order] >= frequent
     if not often[:need].any():
-        return mix(ordered[:need])
+        return mix(ordered[:need]), none, none, _place(level[order], ordered, need)
     out, longest = [], 0
     step = math.floor(math.log(n) / math.log(SIZE_STEP) + 1e-9)
     for key in (step, step + 1):
@@ -159,47 +183,67 @@ def signatures(shingles: np.ndarray, levels: np.ndarray, frequent: int) -> np.nd
                 tokens = np.sort(ordered[members])
                 a, b = np.triu_indices(len(tokens), 1)
                 out.append(mix(mix(tokens[a]) * _PAIR + tokens[b] + np.uint64(key)))
-    singles = ordered[:longest][~often[:longest]]
-    return np.unique(np.concatenate([mix(singles), *out]))
+    head, frequent_ones = ordered[:longest], often[:longest]
+    return (
+        mix(head[~frequent_ones]),
+        np.unique(np.concatenate([none, *out])),
+        head[frequent_ones],
+        _place(level[order], ordered, longest),
+    )
 
 
 def signature_table(docs: DataFrame, levels: np.ndarray, frequent: int) -> DataFrame:
-    """A row (id, class, n) per document of ``docs`` (id, text), and a row
-    (signature, class, n) per signature; ``class`` is null for an empty set."""
+    """A row (id, class, n, behind, often, place, carried) per document of ``docs``
+    (id, text), and a row (signature, single, class, n) per signature.
+
+    ``behind`` counts the shingles after the prefix, ``often`` the frequent ones
+    in it, of which ``carried`` has the first; ``place`` is where the prefix ends;
+    ``class`` is null for an empty set.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(levels)
     kind = docs.schema["id"].dataType.simpleString()
-    columns = ("id", "is_doc", "class", "n", "signature")
+    columns = ("id", "is_doc", "class", "n", "signature", "single", "behind", "often", "place", "carried")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
-            classes, sizes, marks, lengths = [], [], [], []
+            classes, sizes, marks, lengths, alone = [], [], [], [], []
             held = 0
 
-            def flush(classes=classes, sizes=sizes, marks=marks, lengths=lengths, type_=ids.type):
+            def flush(classes=classes, sizes=sizes, marks=marks, lengths=lengths, alone=alone, type_=ids.type):
                 flat = np.concatenate(marks).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.nulls(len(flat), type_), pa.array(np.zeros(len(flat), bool)),
                         pa.array(np.repeat(classes, lengths)), pa.array(np.repeat(sizes, lengths).astype(np.int32)),
-                        pa.array(flat),
+                        pa.array(flat), pa.array(np.repeat(alone, lengths)),
+                        pa.nulls(len(flat), pa.int32()), pa.nulls(len(flat), pa.int32()),
+                        pa.nulls(len(flat), pa.int64()), pa.nulls(len(flat), pa.list_(pa.int64())),
                     ],
                     names=columns,
                 )
-                for part in (classes, sizes, marks, lengths):
+                for part in (classes, sizes, marks, lengths, alone):
                     part.clear()
 
-            own = np.zeros(len(ids), np.int64)
-            size = np.zeros(len(ids), np.int32)
+            own, place = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+            carried: list = [[]] * len(ids)
+            size, behind, often = (np.zeros(len(ids), np.int32) for _ in range(3))
             for row, shingles in shingle_sets(batch.column(1)):
-                size[row] = len(shingles)
-                own[row] = class_of(shingles)
-                found = signatures(shingles, shared.value, frequent)
-                classes.append(own[row])
-                sizes.append(size[row])
-                marks.append(found)
-                lengths.append(len(found))
-                held += len(found)
+                if not len(shingles):
+                    continue
+                level = shared.value[(shingles & np.uint64(COUNTERS - 1)).astype(np.int64)]
+                singles, pairs, common, place[row] = signatures(shingles, level, frequent)
+                size[row], often[row] = len(shingles), len(common)
+                behind[row] = len(shingles) - len(singles) - len(common)
+                carried[row] = common[:CARRIED].view(np.int64)
+                own[row] = class_of(shingles, level)
+                for found, single in ((singles, True), (pairs, False)):
+                    classes.append(own[row])
+                    sizes.append(size[row])
+                    marks.append(found)
+                    lengths.append(len(found))
+                    alone.append(single)
+                held += len(singles) + len(pairs)
                 if held > 1 << 18:
                     yield from flush()
                     held = 0
@@ -208,25 +252,30 @@ def signature_table(docs: DataFrame, levels: np.ndarray, frequent: int) -> DataF
             yield pa.RecordBatch.from_arrays(
                 [
                     ids, pa.array(np.ones(len(ids), bool)), pa.array(own, mask=size == 0), pa.array(size),
-                    pa.nulls(len(ids), pa.int64()),
+                    pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.bool_()), pa.array(behind), pa.array(often),
+                    pa.array(place), pa.array(carried, pa.list_(pa.int64())),
                 ],
                 names=columns,
             )
 
     return docs.mapInArrow(
-        extract, f"id {kind}, is_doc boolean, class long, n int, signature long"
+        extract,
+        f"id {kind}, is_doc boolean, class long, n int, signature long, single boolean,"
+        " behind int, often int, place long, carried array<long>",
     )
 
 
-def compared_sets(docs: DataFrame) -> DataFrame:
+def compared_sets(docs: DataFrame, levels: np.ndarray) -> DataFrame:
     """(class, tokens): the set of each document, ``COMPARED`` bytes per shingle, sorted."""
+    shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             classes, sets, held = [], [], 0
             for _, shingles in shingle_sets(batch.column(0)):
                 if len(shingles):
-                    classes.append(class_of(shingles))
+                    level = shared.value[(shingles & np.uint64(COUNTERS - 1)).astype(np.int64)]
+                    classes.append(class_of(shingles, level))
                     raw = shingles.view(np.uint8).reshape(-1, 8)[:, 8 - COMPARED :]
                     sets.append(raw.tobytes())
                     held += raw.nbytes
@@ -247,7 +296,9 @@ def _unpacked(data: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, keep) -> DataFrame:
+def verified(
+    pairs: DataFrame, docs: DataFrame, levels: np.ndarray, members: DataFrame, keep
+) -> DataFrame:
     """The pairs (a, b) of classes whose sets are linked.
 
     ``members`` has a document per class (class, id).  Only documents that stand
@@ -256,7 +307,7 @@ def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, keep) -> Dat
     """
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     standing = members.join(wanted, "class").select("id")
-    sets = compared_sets(docs.filter(maybe_in(docs, bitmap(standing, "id"), "id")))
+    sets = compared_sets(docs.filter(maybe_in(docs, bitmap(standing, "id"), "id")), levels)
     sets = keep(sets.join(wanted, "class", "left_semi").dropDuplicates(["class"]))
     slices_of = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("slices"))
     heads = slices_of.join(sets, slices_of["a"] == sets["class"]).select(
@@ -318,7 +369,7 @@ def jaccard_components(
         .groupBy("class")
         .agg(F.min("id").alias("id"))
     )
-    marks = table.filter("not is_doc").select("signature", "class", "n")
+    marks = table.filter("not is_doc").select("signature", "single", "class", "n")
     shared = (
         marks.groupBy("signature")
         .agg(F.min(F.struct("class", "n")).alias("least"), F.max("class").alias("most"))
@@ -326,14 +377,34 @@ def jaccard_components(
         .select("signature", F.col("least.class").alias("a"), F.col("least.n").alias("an"))
     )
     meeting = keep(marks.join(shared, "signature").distinct())
-    close = lambda x, y: F.expr(f"100 * least({x}, {y}) >= {PERCENT} * greatest({x}, {y})")
+    met = meeting.filter("single").groupBy("class").agg(F.count("*").cast("int").alias("met"))
+    bounds = keep(
+        table.filter("is_doc and class is not null")
+        .groupBy("class")
+        .agg(*(F.first(c).alias(c) for c in ("often", "behind", "place", "carried")))
+        .join(met, "class", "left")
+        .select("class", F.coalesce("met", F.lit(0)).alias("met"), "often", "behind", "place", "carried")
+    )
+    close = lambda x, y: f"100 * least({x}, {y}) >= {PERCENT} * greatest({x}, {y})"
+    reach = lambda x, y: (
+        f"{100 + PERCENT} * (least(met{x}, met{y}) + if(place{x} <= place{y}, behind{x}, behind{y})"
+        f" + least(often{x}, often{y}, size(array_intersect(carried{x}, carried{y}))"
+        f" + often{x} - size(carried{x}) + often{y} - size(carried{y})))"
+        f" >= {PERCENT} * (n{x} + n{y})"
+    )
+    traits = ("met", "often", "behind", "place", "carried")
+    side = lambda x: bounds.select(F.col("class").alias(x), *(F.col(c).alias(c + x) for c in traits))
     first = keep(
         meeting.filter(F.col("class") != F.col("a"))
-        .filter(close("n", "an"))
-        .select("a", F.col("class").alias("b"))
+        .select("a", F.col("an").alias("na"), F.col("class").alias("b"), F.col("n").alias("nb"))
+        .filter(close("na", "nb"))
         .distinct()
+        .join(side("a"), "a")
+        .join(side("b"), "b")
+        .filter(reach("a", "b"))
+        .select("a", "b")
     )
-    links = verified(first, narrow, members, keep)
+    links = verified(first, narrow, levels, members, keep)
     roots = components(links, keep)
 
     placed = meeting.join(roots.withColumnRenamed("node", "class"), "class", "left").select(
@@ -346,20 +417,33 @@ def jaccard_components(
         .select("signature")
     )
     apart = keep(placed.join(mixed, "signature"))
+    # A pair meets under many signatures; it is made under the smallest that is
+    # among the first few of both sets, where there is one.
+    heads = apart.groupBy("class").agg(
+        F.slice(F.sort_array(F.collect_set("signature")), 1, HEADS).alias("heads")
+    )
+    bounded = keep(apart.join(heads, "class").join(bounds, "class"))
     left, right = (
-        apart.select("signature", *(F.col(c).alias(c + side) for c in ("class", "n", "root"))) for side in "ab"
+        bounded.select("signature", *(F.col(c).alias(c + x) for c in ("class", "n", "root", "heads", *traits)))
+        for x in "ab"
+    )
+    once = F.coalesce(F.get(F.array_intersect("headsa", "headsb"), 0), left["signature"]) == left["signature"]
+    pairable = (
+        (left["signature"] == right["signature"])
+        & F.expr("roota < rootb")
+        & F.expr(close("na", "nb"))
+        & F.expr(reach("a", "b"))
+        & once
     )
     second = (
-        left.join(right, "signature")
-        .filter("roota < rootb")
-        .filter(close("na", "nb"))
+        left.join(right, pairable)
         .select(F.least("classa", "classb").alias("a"), F.greatest("classa", "classb").alias("b"))
         .distinct()
         .join(first, ["a", "b"], "left_anti")
     )
     second = keep(second)
     if not second.isEmpty():
-        links = keep(links.unionByName(verified(second, narrow, members, keep)))
+        links = keep(links.unionByName(verified(second, narrow, levels, members, keep)))
         roots = components(links, keep)
     named = (
         members.join(roots.withColumnRenamed("node", "class"), "class", "left")
