@@ -403,20 +403,16 @@ def anti_pattern_key(line: Column) -> Column:
 def anti_patterns(layer_docs: DataFrame) -> DataFrame:
     """(skill, project_type, at, text): one line per key and reference.
 
-    Of a section only the first line is read, as the specification's pattern
-    ends at the first line end.
+    Every dash bullet of every anti-pattern section is read.
     """
     titled = F.filter(
         docs.sections(F.col("content")),
         lambda s: s["title"].rlike(r"(?i)^(?:反模式|Anti-?patterns?)\z"),
     )
-    first = F.transform(
-        titled,
-        lambda s: F.get(F.filter(docs.lines(s["body"]), lambda l: rx.trim(l) != ""), F.lit(0)),
+    bullets = F.flatten(
+        F.transform(titled, lambda s: F.filter(docs.lines(s["body"]), lambda l: rx.test(l, r"^\s*-")))
     )
-    found = layer_docs.select(
-        *KEY, "layer", F.posexplode(first).alias("pos", "line")
-    ).filter(rx.test(F.col("line"), r"^\s*-"))
+    found = layer_docs.select(*KEY, "layer", F.posexplode(bullets).alias("pos", "line"))
     cleaned = found.select(
         *KEY, F.struct("layer", "pos").alias("at"), tr.clean_line(F.col("line")).alias("line")
     ).filter(tr.is_actionable_anti_pattern(F.col("line")))

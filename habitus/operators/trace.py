@@ -157,8 +157,8 @@ def is_observation(text: Column) -> Column:
     """A remark about evidence or absence, not a rule (D9); one pass over the text."""
     return rx.test(
         text,
-        r"^⚠️|\[待验证\]|(?:[Tt][Oo]) [Vv][Ee][Rr][Ii][Ff][Yy]"
-        rf"|^\*?\s*(?:证据|[Ee][Vv][Ii][Dd][Ee][Nn][Cc][Ee])[：:]|{ABSENCE_WORDS}",
+        r"^⚠️|\[待验证\]|(?i:To Verify)"
+        rf"|^\*?\s*(?i:证据|Evidence)[：:]|^（?证据[：:]|{ABSENCE_WORDS}",
     )
 
 

@@ -23,6 +23,11 @@ def build_session(app: str = "habitus", master: str | None = None, **conf: str)
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+        # Contents join to a choice of files: filter their scan by the choice first.
+        "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+        "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1g",
+        "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1g",
         **conf,
     }
     for key, value in settings.items():
@@ -34,17 +39,30 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder of ``spark.checkpoint.dir``.
 
     Used where a result is read more than once and recomputing it would repeat
-    a scan of file contents.  The folder named by the session wins; a private
-    one is set only when there is none (tests, local runs).
+    a scan of file contents.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="habitus-ckpt-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, ``spark.checkpoint.dir``.
+
+    A private one is set only for a local session that has none; on a cluster
+    its absence is an error, since a machine's own folder is lost with it.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="habitus-ckpt-"))
+        folder = context.getCheckpointDir()
+    return folder
+
+
 def salts(df: DataFrame) -> int:
     """How many slices a possibly hot group is cut into: one per shuffle partition."""
     wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

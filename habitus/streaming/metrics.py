@@ -40,15 +40,19 @@ def windowed_run_metrics(
     )
 
 
-def run_available(metrics: DataFrame, name: str, checkpoint: str, mode: str) -> StreamingQuery:
-    """Process all that is there into the in-memory table ``name`` and stop.
+def run_available(metrics: DataFrame, result: str, checkpoint: str) -> StreamingQuery:
+    """Process all that is there and stop; the measures are a Parquet table in ``result``.
 
-    ``checkpoint`` is a folder all executors reach.
+    Each batch replaces the table, so nothing passes the driver and a repeated
+    batch leaves the same table.  Both folders are ones all executors reach.
     """
+
+    def replace(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(result)
+
     return (
-        metrics.writeStream.outputMode(mode)
-        .format("memory")
-        .queryName(name)
+        metrics.writeStream.outputMode("complete")
+        .foreachBatch(replace)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -263,8 +263,48 @@ def test_call_logs_batch_equals_stream(spark, tmp_path):
     row = runs.phase_metrics(calls).first()
     assert (row.run_id, row.requests, row.turns, row.retries, row.reasoning_tokens, row.llm_duration_ms) == ("run-1", 2, 1, 1, 11, 5)
     stream = st.stream_run_metrics(st.read_call_stream(spark, str(tmp_path / "logs")))
-    st.run_available(stream, "calls_stream", str(tmp_path / "ckpt"), "complete").awaitTermination()
-    assert spark.table("calls_stream").collect() == [row]
+    st.run_available(stream, str(tmp_path / "out"), str(tmp_path / "ckpt")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).collect() == [row]
+
+
+def test_observations_and_tags(spark):
+
+    texts = ["（证据：src/a.ts", "证据：x", "* evidence: y", "（说明：z", "[a\nb] c [d]", "to VERIFY it"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(
+        tr.is_observation(F.col("t")).alias("o"), tr.extract_tags(F.col("t")).alias("tags")
+    ).collect()
+    assert [r.o for r in rows] == [True, True, True, False, False, True]
+    assert rows[4].tags == ["[a\nb]", "[d]"]
+
+
+def test_every_bullet_of_an_anti_pattern_section_counts(spark):
+
+    body = "## L1\n### 反模式\n- ❌ never call the backend from a view component\n\ntext\n- ❌ never keep passwords in source files\n### Other\n- not an anti pattern at all here\n"
+    docs = spark.createDataFrame([("s", "t", "L1", body)], "skill string, project_type string, layer string, content string")
+    assert {r.text for r in ov.anti_patterns(docs).collect()} == {
+        "❌ never call the backend from a view component", "❌ never keep passwords in source files"
+    }
+
+
+def test_cluster_needs_a_shared_folder(spark, monkeypatch):
+
+    from habitus import session
+
+    class Cluster:
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+            @staticmethod
+            def getCheckpointDir():
+                return None
+
+        class conf:  # noqa: N801
+            @staticmethod
+            def get(key, default=None):
+                return default
+
+    with pytest.raises(ValueError):
+        session.shared_folder(Cluster)
 
 
 def test_completion_budgets_retries_and_resume(spark, tmp_path):

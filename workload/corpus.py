@@ -351,9 +351,17 @@ def line_probes(spark: SparkSession, sf: str) -> DataFrame:
 
 def rule_targets(spark: SparkSession, sf: str) -> DataFrame:
     kinds = types(spark, sf).select("project_type").distinct()
-    table = F.broadcast(rl.rules_table(spark))
+    table = F.array(
+        *(
+            F.struct(
+                F.lit(r.id).alias("rule_id"),
+                F.array(*(F.lit(t) for t in r.applies_to)).cast("array<string>").alias("applies_to"),
+            )
+            for r in rl.RULES
+        )
+    )
     return (
-        kinds.crossJoin(table)
+        kinds.select("project_type", F.inline(table))
         .filter(rl.rule_applies(F.col("applies_to"), F.col("project_type")))
         .select("project_type", "rule_id")
     )

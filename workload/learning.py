@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from habitus.functions.paths import skill_path_parts
 from habitus.operators import catalog as ct
 from habitus.operators import runs as rn
+from habitus.session import shared_folder
 from habitus.streaming import metrics as st
 from workload import corpus
 from workload.views import duck_with, view
@@ -32,9 +32,14 @@ def calls(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _entries(spark: SparkSession, sf: str, half: int) -> DataFrame:
-    """Catalog rows grouped from one half of the view, keyed by (source, lang)."""
-    rows = view(spark, sf, "v_catalog").filter(F.col("k") == half)
+def _entries(spark: SparkSession, sf: str, half: int | None = None) -> DataFrame:
+    """Catalog rows grouped from the view, or from the older (0) or newer (1) half of it.
+
+    Where a catalog is merged the halves are the catalog and what was learned.
+    """
+    rows = view(spark, sf, "v_catalog")
+    if half is not None:
+        rows = rows.filter(F.col("k") == half)
     return rows.groupBy("lock_key", "name", "language", "skill_path").agg(
         F.array("language").alias("raw_languages"),
         F.array_sort(F.collect_set("source_project")).alias("source_projects"),
@@ -66,7 +71,7 @@ def union_sources(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def list_skills(spark: SparkSession, sf: str) -> DataFrame:
-    return ct.list_skills(_entries(spark, sf, 0)).select("lock_key", F.unix_seconds("updated_at").alias("updated_at"))
+    return ct.list_skills(_entries(spark, sf)).select("lock_key", F.unix_seconds("updated_at").alias("updated_at"))
 
 
 def skill_paths(spark: SparkSession, sf: str) -> DataFrame:
@@ -79,14 +84,14 @@ def skill_paths(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def skill_status(spark: SparkSession, sf: str) -> DataFrame:
-    return ct.skill_status(_entries(spark, sf, 0)).select(
+    return ct.skill_status(_entries(spark, sf)).select(
         "skill", "project_type", F.array_join("languages", ",").alias("languages"), "files", "projects",
         F.unix_seconds("updated_at").alias("updated_at"),
     )
 
 
 def status_totals(spark: SparkSession, sf: str) -> DataFrame:
-    return ct.status_totals(_entries(spark, sf, 0))
+    return ct.status_totals(_entries(spark, sf))
 
 
 def _runs(spark: SparkSession, sf: str) -> DataFrame:
@@ -152,17 +157,9 @@ def stream_run_metrics(spark: SparkSession, sf: str) -> DataFrame:
         "CAST(event_id % 1000 AS BIGINT) AS request_chars", "CAST(event_id % 300 AS BIGINT) AS response_chars",
         "event_type <> 'error' AS ok", "CAST(get_json_object(props, '$.k') AS BIGINT) AS k",
     ).selectExpr("*", USAGE)
-    name = "stream_run_metrics_" + str(abs(hash((sf, os.getpid()))))
-    st.run_available(st.stream_run_metrics(shaped), name, _stream_folder(spark), "complete").awaitTermination()
-    return spark.table(name)
-
-
-def _stream_folder(spark: SparkSession) -> str:
-    """A new folder below the session's shared checkpoint folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        return tempfile.mkdtemp(prefix="habitus-stream-")
-    return f"{shared}/stream-{os.urandom(8).hex()}"
+    folder = f"{shared_folder(spark)}/stream-{os.urandom(8).hex()}"
+    st.run_available(st.stream_run_metrics(shaped), f"{folder}/result", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/result")
 
 
 QUERIES = {
@@ -179,6 +176,8 @@ QUERIES = {
 _CAT = f"""WITH {duck_with('v_catalog')},
 ent AS (SELECT k, lock_key, name, language, skill_path, list_sort(list(DISTINCT source_project)) AS ps, list_sort(list(DISTINCT source_file)) AS fs,
    sha256(CAST(sum(n_chars) AS VARCHAR)) AS h, count(*) AS n, min(doc_id) * 60 AS c, max(doc_id) * 60 AS u FROM v_catalog GROUP BY ALL),
+w AS (SELECT lock_key, skill_path, language, list_distinct(list(source_project)) AS ps, list_distinct(list(source_file)) AS fs, max(doc_id) * 60 AS u
+   FROM v_catalog GROUP BY ALL),
 a AS (SELECT * FROM ent WHERE k = 0), b AS (SELECT * FROM ent WHERE k = 1)"""
 _M = """count(*) AS requests, count(*) FILTER (coalesce(attempt, 1) <= 1) AS turns, count(*) FILTER (coalesce(attempt, 1) > 1) AS retries,
  count(*) FILTER (ok) AS succeeded, count(*) FILTER (NOT ok) AS failed, CAST(sum(request_chars) AS BIGINT) AS request_chars,
@@ -203,14 +202,14 @@ ORACLES = {
       coalesce(a.c, 1893456000) AS created_at, CASE WHEN b.k IS NULL THEN a.u ELSE 1893456000 END AS updated_at FROM a FULL JOIN b ON a.lock_key = b.lock_key""",
     "union_sources": f"""{_CAT} SELECT coalesce(a.lock_key, b.lock_key) AS lock_key,
       array_to_string(list_sort(list_distinct(list_concat(coalesce(a.fs, []), coalesce(b.fs, [])))), ',') AS files FROM a FULL JOIN b ON a.lock_key = b.lock_key""",
-    "list_skills": f"{_CAT} SELECT lock_key, u AS updated_at FROM a ORDER BY u DESC, lock_key",
+    "list_skills": f"{_CAT} SELECT lock_key, u AS updated_at FROM w ORDER BY u DESC, lock_key",
     "skill_paths": f"""WITH {duck_with('v_catalog')}, p AS (SELECT doc_id, language, CASE WHEN doc_id % 5 = 0 THEN lock_key WHEN doc_id % 5 = 1 THEN 'reference/' || language ELSE skill_path END AS path FROM v_catalog)
       SELECT doc_id, CASE WHEN doc_id % 5 > 1 THEN split_part(path, '/', 1) ELSE 'unknown' END AS skill, language AS project_type,
         CASE WHEN doc_id % 5 = 0 THEN 'unknown' ELSE language END AS overview_type FROM p""",
     "skill_status": f"""{_CAT} SELECT split_part(skill_path, '/', 1) AS skill, split_part(skill_path, '/', 3) AS project_type, language AS languages,
-      CAST(len(fs) AS BIGINT) AS files, CAST(len(ps) AS BIGINT) AS projects, u AS updated_at FROM a""",
-    "status_totals": f"""{_CAT} SELECT split_part(skill_path, '/', 1) AS skill, count(*) AS types, count(*) AS entries FROM a GROUP BY 1
-      UNION ALL SELECT NULL, count(*), count(*) FROM a""",
+      CAST(len(fs) AS BIGINT) AS files, CAST(len(ps) AS BIGINT) AS projects, u AS updated_at FROM w""",
+    "status_totals": f"""{_CAT} SELECT split_part(skill_path, '/', 1) AS skill, count(*) AS types, count(*) AS entries FROM w GROUP BY 1
+      UNION ALL SELECT NULL, count(*), count(*) FROM w""",
     "call_metrics": f"{_CALLS} SELECT run_id, {_M} FROM c GROUP BY run_id",
     "phase_metrics": _PHASES,
     "run_and_phase_metrics": f"{_CALLS} SELECT run_id, phase, {_M} FROM c GROUP BY GROUPING SETS ((run_id), (run_id, phase))",

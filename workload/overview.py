@@ -300,8 +300,8 @@ xtrace AS (SELECT skill, project_type, layer, k, text, files, ids, status, CASE
 BOTH = f"{REPORT}{_TRACE_TAIL}, {XTRACE}, {tagged('typed_rules', ov.TYPE_TAGS)}, {tagged('hard_rules', ov.HARD_TAGS)}"
 
 _AP_BODY = f"""
-ap0 AS (SELECT l.doc_id, l.sid, arg_min(line, n) AS line FROM body_lines l WHERE regexp_matches(title, '(?i)^(?:反模式|Anti-?patterns?)$') AND t <> '' GROUP BY ALL),
-ap1 AS (SELECT d.skill, d.project_type, (d.layer, sid) AS pos_at, {s.clean_line('line')} AS line FROM ap0 a JOIN v_layer_docs d ON d.doc_id = a.doc_id
+ap0 AS (SELECT l.doc_id, l.sid, n, line FROM body_lines l WHERE regexp_matches(title, '(?i)^(?:反模式|Anti-?patterns?)$')),
+ap1 AS (SELECT d.skill, d.project_type, (d.layer, sid, n) AS pos_at, {s.clean_line('line')} AS line FROM ap0 a JOIN v_layer_docs d ON d.doc_id = a.doc_id
   WHERE {rx('line', r'^' + _BS + 's*-')}),
 ap2 AS (SELECT skill, project_type, pos_at, {trim(sub(sub('line', r'^[❌✗×xX]\s*', ''), r'^[🚫⚠️]\s*', ''))} AS b, line FROM ap1
   WHERE {s.actionable('line')} AND NOT regexp_matches(line, '建议|推荐使用|可考虑|待验证')),

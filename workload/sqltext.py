@@ -110,6 +110,7 @@ def observation(x: str) -> str:
             "^⚠️",
             r"(?i)\[待验证\]|To Verify",
             r"(?i)^\*?\s*(?:证据|Evidence)[：:]",
+            r"^（?证据[：:]",
             r"未发现|未展示|未出现|未启用|未见|无显式|当前无|不存在|通过文件片段推断|早期分析|L8\s*中提及",
         )
     ) + ")"
