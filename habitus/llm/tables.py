@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from habitus import session
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -16,14 +19,7 @@ def shared_folder(spark: SparkSession) -> str:
 
     Only a local session may go without that setting.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="habitus-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = re.sub("^file:/+", "file:///", session.shared_folder(spark))
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
