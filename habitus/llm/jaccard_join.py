@@ -101,12 +101,24 @@ def frequency_levels(docs: DataFrame) -> tuple[np.ndarray, int]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(COUNTERS, np.uint32)
+        waiting: list[np.ndarray] = []
+
+        def add_up():
+            places, n = np.unique(np.concatenate(waiting), return_counts=True)
+            held[places.astype(np.int64)] += n.astype(np.uint32)
+            waiting.clear()
+
         for batch in batches:
-            waiting = []
+            size = 0
             for _, shingles in shingle_sets(batch.column(0)):
                 waiting.append(shingles & np.uint64(COUNTERS - 1))
+                size += len(shingles)
+                if size > 1 << 17:
+                    add_up()
+                    size = 0
             if waiting:
-                held += np.bincount(np.concatenate(waiting).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+                add_up()
+            pa.default_memory_pool().release_unused()
         if held.any():
             parts = [zlib.compress(part.tobytes(), 1) for part in held.reshape(CHUNKS, width)]
             yield pa.RecordBatch.from_arrays(
@@ -244,7 +256,7 @@ def signature_table(docs: DataFrame, levels: np.ndarray, frequent: int) -> DataF
                     lengths.append(len(found))
                     alone.append(single)
                 held += len(singles) + len(pairs)
-                if held > 1 << 18:
+                if held > 1 << 16:
                     yield from flush()
                     held = 0
             if classes:
@@ -257,6 +269,7 @@ def signature_table(docs: DataFrame, levels: np.ndarray, frequent: int) -> DataF
                 ],
                 names=columns,
             )
+            pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(
         extract,
@@ -279,7 +292,7 @@ def compared_sets(docs: DataFrame, levels: np.ndarray) -> DataFrame:
                     raw = shingles.view(np.uint8).reshape(-1, 8)[:, 8 - COMPARED :]
                     sets.append(raw.tobytes())
                     held += raw.nbytes
-                if held > 8 << 20:
+                if held > 1 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(classes), pa.array(sets, pa.binary())], names=["class", "tokens"])
                     classes, sets, held = [], [], 0
             yield pa.RecordBatch.from_arrays(
@@ -375,6 +388,7 @@ def jaccard_components(
         .agg(F.min(F.struct("class", "n")).alias("least"), F.max("class").alias("most"))
         .filter("least.class != most")
         .select("signature", F.col("least.class").alias("a"), F.col("least.n").alias("an"))
+        .hint("merge")
     )
     meeting = keep(marks.join(shared, "signature").distinct())
     met = meeting.filter("single").groupBy("class").agg(F.count("*").cast("int").alias("met"))
@@ -415,6 +429,7 @@ def jaccard_components(
         .agg(F.min("root").alias("low"), F.max("root").alias("high"))
         .filter("low != high")
         .select("signature")
+        .hint("merge")
     )
     apart = keep(placed.join(mixed, "signature"))
     # A pair meets under many signatures; it is made under the smallest that is

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 _BYTES = np.arange(256)
 _SPACE = (_BYTES == 0x20) | ((_BYTES >= 0x09) & (_BYTES <= 0x0D))
@@ -115,7 +115,7 @@ def slices(column: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int, np.
 
 
 def words(
-    data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, limit: int = 4 * SLICE
+    data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, limit: int = 16 * SLICE
 ) -> tuple[np.ndarray, np.ndarray]:
     """(text number, hash) of every word; one huge text is hashed in pieces."""
     if len(offsets) != 2 or len(data) <= limit:
