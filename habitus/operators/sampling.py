@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from habitus.functions.languages import file_priority
 from habitus.functions.paths import IMPORTANT_SCORE, layer_scores
 from habitus.operators.skew import top_k, within_budget
+from habitus.session import broadcast_if_small, cut_lineage
 
 # Budgets.
 SAMPLE_BUDGET = 50_000
@@ -63,13 +64,16 @@ def code_sample(files: DataFrame, max_chars: int = SAMPLE_BUDGET) -> DataFrame:
 
 
 def pick_files(files: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Join file rows to a small choice of (project, path).
+    """Join file rows to a choice of (project, path); contents stay at the scan.
 
-    The choice is bounded per project, not overall, so the join strategy is
-    left to adaptive execution: a broadcast when the choice turns out small, a
-    shuffle join on (project, path) - a key without hot values - otherwise.
+    The choice is bounded per project, not overall.  It is written and measured:
+    up to the broadcast limit it goes to the scan of contents.  Beyond it the
+    runtime filter of ``build_session`` drops other files at the scan, and only
+    chosen contents are shuffled, by (project, path) - a key without hot values.
     """
-    return files.join(chosen, ["project", "path"])
+    choice = cut_lineage(chosen)
+    small = broadcast_if_small(choice)
+    return files.join(choice if small is None else small, ["project", "path"])
 
 
 def layer_file_plan(files: DataFrame) -> DataFrame:

@@ -72,8 +72,8 @@ def normalize(text: Column) -> Column:
 
 
 def extract_tags(text: Column) -> Column:
-    """Bracketed spans, none across a line break."""
-    return F.regexp_extract_all(text, F.lit(r"\[[^\]\n]+\]"), F.lit(0))
+    """Bracketed spans."""
+    return F.regexp_extract_all(text, F.lit(r"\[[^\]]+\]"), F.lit(0))
 
 
 def normalize_tags(tags: Column) -> Column:

@@ -130,3 +130,13 @@ def test_contents_are_not_shuffled_and_patterns_run_once(spark):
     physical = ev.collect_evidence(rows, kinds)._jdf.queryExecution().executedPlan().toString()
     below = [l for l in physical.splitlines() if "Exchange hashpartitioning" in l]
     assert below and not any("content" in l for l in below)
+
+
+def test_chosen_contents_are_not_shuffled(spark):
+    from habitus.operators import sampling
+
+    rows = files_of(spark, MIXED)
+    plan = sampling.layer_file_plan(rows)
+    for frame in (sampling.code_sample(rows), sampling.layer_samples(plan, rows)):
+        physical = frame._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in physical and "Exchange hashpartitioning" not in physical

@@ -296,8 +296,8 @@ rest AS (
   WHERE c <> '' AND NOT {s.observation('c')} GROUP BY ALL),
 tags AS (
   SELECT doc_id, ord, start_n, first(heading) AS h,
-    list_concat(regexp_extract_all(first(heading), '\\[[^\\]\\n]+\\]'),
-      coalesce(flatten(list(regexp_extract_all(line, '\\[[^\\]\\n]+\\]') ORDER BY n)), [])) AS tg
+    list_concat(regexp_extract_all(first(heading), '\\[[^\\]]+\\]'),
+      coalesce(flatten(list(regexp_extract_all(line, '\\[[^\\]]+\\]') ORDER BY n)), [])) AS tg
   FROM blk GROUP BY ALL),
 utags AS (
   SELECT doc_id, ord, start_n, list_filter(tg, lambda x, i: list_position(tg, x) = i) AS tg FROM tags),
@@ -378,7 +378,7 @@ trule AS (
   LEFT JOIN lev2 e ON e.skill = d.skill AND e.project_type = d.project_type AND e.layer = d.layer),
 trace AS (
   SELECT skill, project_type, layer, {_ID.replace('{m}', 'r')} AS id, {trim(sub('text', r'^[-*]\s*', ''))} AS text,
-    regexp_extract_all(text, '\\[[^\\]\\n]+\\]') AS tags, CASE WHEN len(own) > 0 THEN own ELSE ef[1:5] END AS files, ids,
+    regexp_extract_all(text, '\\[[^\\]]+\\]') AS tags, CASE WHEN len(own) > 0 THEN own ELSE ef[1:5] END AS files, ids,
     CASE WHEN {_pending('text')} THEN 'pending' WHEN len(own) > 0 OR len(ef) > 0 THEN 'active' ELSE 'weak' END AS status
   FROM trule)"""
 
@@ -522,7 +522,7 @@ named AS (SELECT doc_id, i, content, layer, layer || '-' || CASE layer {' '.join
 split AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, file_stem ORDER BY i DESC) AS r FROM named) x WHERE r = 1)"""
 
 _ACT = {"usable": s.usable("line"), "actionable": s.actionable("line")}
-_TAGS = "regexp_extract_all(line, '\\[[^\\]\\n]+\\]')"
+_TAGS = "regexp_extract_all(line, '\\[[^\\]]+\\]')"
 _UT = f"list_filter({_TAGS}, lambda x, i: list_position({_TAGS}, x) = i)"
 
 ORACLES = {
