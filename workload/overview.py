@@ -121,8 +121,10 @@ def never_do(spark: SparkSession, sf: str) -> DataFrame:
 
 def _texts(spark: SparkSession, sf: str) -> DataFrame:
     rules = cut_lineage(ov.select_top_rules(_all_rules(spark, sf), ov.TYPE_RULES_SHOWN))
-    anti = ov.anti_patterns(wd.layer_docs(spark, sf))
-    return ov.surfaced_texts(rules, rules.filter(F.col("position") <= 3), anti)
+    trace = cut_lineage(_trace(spark, sf))
+    stated = cut_lineage(ov.report_rules(wd.layer_docs(spark, sf)))
+    hard = ov.select_top_rules(ov.tagged_rules(trace, stated, ov.HARD_TAGS), ov.HARD_RULES_SHOWN)
+    return ov.surfaced_texts(rules, hard, ov.anti_patterns(wd.layer_docs(spark, sf)))
 
 
 def cross_type_patterns(spark: SparkSession, sf: str) -> DataFrame:
@@ -331,8 +333,9 @@ docs_first AS (SELECT skill, project_type, project, min(doc_id) AS d FROM v_laye
 cat AS (SELECT skill, project_type, d, CASE WHEN d % 3 = 0 THEN 'typescript, vue' WHEN d % 3 = 1 THEN 'java' ELSE 'go, config' END AS language,
    d % 4 + 1 AS learn_count, ['/w/' || project, '/w/p' || d % 3] AS source_projects FROM docs_first)"""
 _ALL = f"all_rules AS (SELECT skill, project_type, pos_at, text FROM report0), {ranked('all_rules', 'top_rules', ov.TYPE_RULES_SHOWN)}"
+_HARD = f"{BOTH}, {ranked('hard_rules', 'top_hard', ov.HARD_RULES_SHOWN)}"
 TEXTS = f"""{_ALL}, {_AP_BODY},
-texts AS (SELECT skill, project_type, 'type' AS kind, text FROM top_rules UNION ALL SELECT skill, project_type, 'hard', text FROM top_rules WHERE position <= 3
+texts AS (SELECT skill, project_type, 'type' AS kind, text FROM top_rules UNION ALL SELECT skill, project_type, 'hard', text FROM top_hard
   UNION ALL SELECT skill, project_type, 'anti', text FROM ap)"""
 
 
@@ -410,8 +413,8 @@ ORACLES = {
         NOT missing AND (regexp_matches(body, {q(ov.UNSAFE_TEMPLATE)}) OR regexp_matches(body, {q(r'(?i)\b(' + ov.TOOL_NAMES + r')\b')})) AS unsafe, missing FROM x""",
     "anti_patterns": f"{wd.LINES}, {_AP_BODY} SELECT skill, project_type, text FROM ap",
     "never_do": f"{wd.LINES}, {_AP_BODY}, {_never(3)} SELECT * FROM never",
-    "cross_type_patterns": f"{REPORT}, {TEXTS}, {cross_cte(CONCERNS)} SELECT * FROM crossed",
-    "scenario_guide": f"{REPORT}, {TEXTS}, {_CAT}, {scenario_cte()} SELECT * FROM scen",
+    "cross_type_patterns": f"{_HARD}, {TEXTS}, {cross_cte(CONCERNS)} SELECT * FROM crossed",
+    "scenario_guide": f"{_HARD}, {TEXTS}, {_CAT}, {scenario_cte()} SELECT * FROM scen",
     "decision_tables": f"""WITH {wd.DOCS} SELECT skill, project_type, '## Decision Heuristics' || chr(10) || '| Scenario | Do |' || chr(10) || '|---|---|' || chr(10)
       || '| ' || min(layer) || ' | x |' AS section FROM v_layer_docs WHERE doc_id % 3 = 0 GROUP BY ALL""",
     "document_counts": f"""SELECT skill, project_type, CAST(sum(observed) AS BIGINT) AS observed, CAST(sum(suggested) AS BIGINT) AS suggested,
@@ -419,7 +422,7 @@ ORACLES = {
     "type_stats": f"{STATS} SELECT * FROM stats",
     "quality_totals": f"{STATS} SELECT * FROM tot",
     "quality_checks": f"""{STATS}, all_rules AS (SELECT skill, project_type, pos_at, text FROM report0), {ranked('all_rules', 'top_rules', ov.TYPE_RULES_SHOWN)},
-      texts AS (SELECT skill, project_type, 'type' AS kind, text FROM top_rules UNION ALL SELECT skill, project_type, 'hard', text FROM top_rules WHERE position <= 3
+      texts AS (SELECT skill, project_type, 'type' AS kind, text FROM top_rules UNION ALL SELECT skill, project_type, 'hard', text FROM top_hard
       UNION ALL SELECT skill, project_type, 'anti', text FROM ap), {cross_cte(CONCERNS)},
       pr AS (SELECT t.*, (SELECT count(*) FROM crossed c WHERE c.skill = t.skill) AS promoted, greatest(0, raw_type_rules - type_rules) AS packed FROM tot t)
       SELECT skill, CAST(1 AS BIGINT) AS ord, 'speculative residuals' AS "check", CASE WHEN residuals = 0 THEN 'PASS' ELSE 'WARN' END AS level, residuals AS n FROM pr
