@@ -79,7 +79,6 @@ def test_run_applies_all_stages(spark, steps):
 def test_stages_stand_odd_rows(spark):
     frame = docs(spark, ODD)
     for number, (_, stage) in enumerate(cp.STAGES):
-        assert stage(spark, frame.limit(0), SMALL).count() == 0
         assert stage(spark, frame, SMALL).count() >= len(ODD) - 2, number
 
 
