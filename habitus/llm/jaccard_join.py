@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from habitus.llm.components import components
-from habitus.llm.membership import bitmap, maybe_in, without_ids
+from habitus.llm.membership import bitmap, hits, places, without_ids
 from habitus.llm.words import SPACED, mix, slices, windows, words
 
 WINDOW = 5
@@ -278,14 +278,20 @@ def signature_table(docs: DataFrame, levels: np.ndarray, frequent: int) -> DataF
     )
 
 
-def compared_sets(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """(class, tokens): the set of each document, ``COMPARED`` bytes per shingle, sorted."""
+def compared_sets(docs: DataFrame, levels: np.ndarray, wanted: np.ndarray) -> DataFrame:
+    """(class, tokens): the set of each document, ``COMPARED`` bytes per shingle, sorted.
+
+    Only documents (id, text) that the filter ``wanted`` lets through, tested
+    here so that a task needs one Python worker.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(levels)
+    filter_ = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             classes, sets, held = [], [], 0
-            for _, shingles in shingle_sets(batch.column(0)):
+            chosen = hits(filter_.value, [c.to_numpy() for c in batch.columns[1:]])
+            for _, shingles in shingle_sets(batch.column(0).filter(pa.array(chosen))):
                 if len(shingles):
                     level = shared.value[(shingles & np.uint64(COUNTERS - 1)).astype(np.int64)]
                     classes.append(class_of(shingles, level))
@@ -299,7 +305,8 @@ def compared_sets(docs: DataFrame, levels: np.ndarray) -> DataFrame:
                 [pa.array(classes, pa.int64()), pa.array(sets, pa.binary())], names=["class", "tokens"]
             )
 
-    return docs.select("text").mapInArrow(extract, "class long, tokens binary")
+    tested = docs.select("text", *(p.alias(f"place{k}") for k, p in enumerate(places(F.col("id")))))
+    return tested.mapInArrow(extract, "class long, tokens binary")
 
 
 def _unpacked(data: bytes) -> np.ndarray:
@@ -320,7 +327,7 @@ def verified(
     """
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     standing = members.join(wanted, "class").select("id")
-    sets = compared_sets(docs.filter(maybe_in(docs, bitmap(standing, "id"), "id")), levels)
+    sets = compared_sets(docs, levels, bitmap(standing, "id"))
     sets = keep(sets.join(wanted, "class", "left_semi").dropDuplicates(["class"]))
     slices_of = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("slices"))
     heads = slices_of.join(sets, slices_of["a"] == sets["class"]).select(

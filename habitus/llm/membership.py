@@ -16,13 +16,13 @@ BITS = 1 << 24
 SEEDS = (17, 71)
 
 
-def _places(*key: Column) -> list[Column]:
+def places(*key: Column) -> list[Column]:
     return [F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(BITS)) for seed in SEEDS]
 
 
 def bitmap(df: DataFrame, *key: str) -> np.ndarray:
     """The filter of all keys of ``df``, as at most BITS / 64 words."""
-    place = F.explode(F.array(*_places(*(F.col(k) for k in key))))
+    place = F.explode(F.array(*places(*(F.col(k) for k in key))))
     words = (
         df.select(place.alias("place"))
         .groupBy(F.shiftright("place", 6).cast("int").alias("word"))
@@ -34,19 +34,23 @@ def bitmap(df: DataFrame, *key: str) -> np.ndarray:
     return out.view(np.uint64)
 
 
+def hits(words: np.ndarray, of_rows: list[np.ndarray]) -> np.ndarray:
+    """Which rows are in the filter, from the arrays of their places."""
+    hit = np.ones(len(of_rows[0]), bool)
+    for place in of_rows:
+        hit &= (words[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1
+    return hit
+
+
 def maybe_in(df: DataFrame, filter_: np.ndarray, *key: str | Column) -> Column:
     """True for every row whose key is in the filter, and for few others."""
     shared = df.sparkSession.sparkContext.broadcast(filter_)
 
     @F.pandas_udf("boolean")
     def test(one: pd.Series, two: pd.Series) -> pd.Series:
-        words = shared.value
-        hit = np.ones(len(one), bool)
-        for place in (one.to_numpy(np.int64), two.to_numpy(np.int64)):
-            hit &= (words[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1
-        return pd.Series(hit)
+        return pd.Series(hits(shared.value, [one.to_numpy(np.int64), two.to_numpy(np.int64)]))
 
-    return test(*_places(*(F.col(k) if isinstance(k, str) else k for k in key)))
+    return test(*places(*(F.col(k) if isinstance(k, str) else k for k in key)))
 
 
 def only_ids(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
