@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 HIDDEN = frozenset(
-    "head script style template noscript iframe object svg math canvas audio video select datalist "
+    "head script style template noscript iframe object canvas audio video select datalist "
     "title meta link base".split()
 )
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure hr".split())
@@ -46,6 +46,20 @@ CLOSES = {
     "option": (frozenset(("option",)), frozenset(("select", "datalist"))),
     "body": (frozenset(("head",)), frozenset()),
 }
+#: A table and what holds its rows and cells.
+TABLE_PARTS = frozenset(("table", "thead", "tbody", "tfoot", "tr"))
+#: Elements that end back to the nearest of these when they open in a table.
+CLEARS = {
+    "td": TABLE_PARTS, "th": TABLE_PARTS, "tr": TABLE_PARTS - ROWS,
+    **dict.fromkeys(("thead", "tbody", "tfoot", "caption", "colgroup"), frozenset(("table",))),
+    "col": frozenset(("table", "colgroup")),
+}
+#: What may stand in a table part itself; anything else moves before the table.
+IN_TABLE = frozenset(CLEARS) | frozenset(("script", "style", "template"))
+#: Parts of SVG and MathML that are never shown (definitions are, where they stand).
+UNSEEN = frozenset(("desc", "metadata", "annotation", "annotation-xml"))
+#: Elements inside which a tag belongs to SVG or MathML, and ones inside which it is HTML again.
+FOREIGN, INTEGRATION = frozenset(("svg", "math")), frozenset(("foreignobject", "annotation-xml"))
 #: Elements that an unmatched closing tag never reaches through.
 FENCES = frozenset(("table", "td", "th", "caption", "button", "object", "template"))
 #: Formatting elements: one that a block was opened in ends without ending the block.
@@ -76,9 +90,40 @@ class TreeBuilder(HTMLParser):
     def close_to(self, depth: int) -> None:
         del self.open[max(depth, 1) :]
 
+    def nearest(self, names: frozenset[str], fences: frozenset[str] = frozenset()) -> int:
+        """Place of the innermost open element with one of the names; 0 if a fence or no such is met."""
+        for at in range(len(self.open) - 1, 0, -1):
+            if self.open[at].tag in fences:
+                return 0
+            if self.open[at].tag in names:
+                return at
+        return 0
+
+    def foreign(self) -> bool:
+        return self.nearest(FOREIGN, INTEGRATION) > 0
+
+    def insert(self, child: Node | str) -> None:
+        """Into the innermost open element; what a table part may not hold goes before the table."""
+        blank = isinstance(child, str) and not child.strip(" \t\n\r\f")
+        if not blank and not (isinstance(child, Node) and child.tag in IN_TABLE):
+            if self.open[-1].tag == "colgroup":
+                self.close_to(len(self.open) - 1)
+            if self.open[-1].tag in TABLE_PARTS:
+                at = self.nearest(frozenset(("table",)))
+                if at:  # the open table is the last child of its parent
+                    self.open[at - 1].children.insert(-1, child)
+                    return
+        self.open[-1].children.append(child)
+
     def handle_starttag(self, tag, attrs):
         if tag == "html":
             return
+        if tag == "form" and self.open[-1].tag in TABLE_PARTS:  # stays empty in a table part
+            return
+        if tag == "table":  # a table opens in no table but in its cells and captions
+            at = self.nearest(frozenset(("table",)), CELLS | {"caption", "template"})
+            if at:
+                self.close_to(at)
         if tag in BLOCK:  # a block ends an open paragraph
             for at in range(len(self.open) - 1, 0, -1):
                 name = self.open[at].tag
@@ -97,19 +142,31 @@ class TreeBuilder(HTMLParser):
                     cut = at
             if cut is not None:
                 self.close_to(cut)
-        elif self.open[-1].tag == "head" and tag not in HIDDEN and tag not in VOID:
+        if tag in CLEARS:
+            at = self.nearest(CLEARS[tag])
+            if at:
+                self.close_to(at + 1)
+                if tag in CELLS and self.open[at].tag not in ROWS:
+                    self.handle_starttag("tr", [])
+        if self.open[-1].tag == "head" and tag not in HIDDEN and tag not in VOID:
             self.close_to(len(self.open) - 1)
         node = Node(tag, dict(attrs))
-        self.open[-1].children.append(node)
+        if tag in UNSEEN and self.foreign():
+            node.attrs["hidden"] = None
+        elif tag == "text" and self.foreign():  # SVG texts stand apart
+            self.insert(" ")
+        self.insert(node)
         if tag not in VOID and len(self.open) < MAX_DEPTH:
             self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
+        if self.open[-1].tag == tag and (tag in FOREIGN or self.foreign()):
+            self.close_to(len(self.open) - 1)  # only HTML's own elements stay open
 
     def handle_endtag(self, tag):
         if tag == "br":
-            self.open[-1].children.append(Node("br", {}))
+            self.insert(Node("br", {}))
             return
         for at in range(len(self.open) - 1, 0, -1):
             name = self.open[at].tag
@@ -118,13 +175,13 @@ class TreeBuilder(HTMLParser):
                 if tag not in FORMATTING or not any(name in BLOCK for name in inside):
                     self.close_to(at)
                 return
-            if name in FENCES and tag not in ("table", "tr", "tbody", "thead", "tfoot"):
+            if name == "table" or name in FENCES and tag not in ("table", "tr", "tbody", "thead", "tfoot"):
                 return
 
     def handle_data(self, data):
         if self.open[-1].tag == "head" and data.strip():
             self.close_to(len(self.open) - 1)
-        self.open[-1].children.append(data)
+        self.insert(data)
 
 
 def visible(node: Node) -> bool:

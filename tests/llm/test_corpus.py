@@ -168,6 +168,27 @@ def test_rendering(html):
     assert rendered(html) == RENDERED[html]
 
 
+MISPLACED = {
+    "<table><td>A<td>B</table>": "A  B", "<table><thead><th>Name<th>Age<tbody><td>x<td>1</table>": "Name  Age\nx     1",
+    "<table><tr><td>a<tbody><td>b</table>": "a\nb", "<table><caption>c<td>x</table>": "c\nx",
+    "<table><tr><form><td>x</td></form></tr><form><tr><td>y</table>": "x\ny",
+    "<table><div>note</div><tr><td>x</table>z": "note\n\nx\n\nz", "<table><tr>loose<td>x</table>": "loose\n\nx",
+    "<table>a<tr><td>b</td></tr>c</table>": "ac\n\nb", "<table><tr><td>a<table>in<td>b</table>c</table>": "ain\nb\nc",
+    "<table><tr><div>d<td>x</table>": "d\n\nx", "<table><tr><img alt=pic><td>x</table>": "pic\n\nx",
+    "<table><tr><td>a</td></tr><table><tr><td>b</table>": "a\n\nb", "<table><colgroup>g<col><tr><td>x</table>": "g\n\nx",
+    "<table><tr><td>a<table></tr>x</table>b</table>": "ax\nb", "<table> <tr> <td>a</td> <td>b</td> </tr> </table>": "a  b",
+    "<p>n<math><mi>x</mi><mo>=</mo><mn>2</mn></math>": "nx=2",
+    "<math><semantics><mi>x</mi><annotation>tex</annotation></semantics></math>": "x",
+    "<svg><title>t</title><desc>d</desc><path d='m'/><text>a</text><text>b</text></svg>": "a b",
+    "<svg><desc/><text>a</text></svg>": "a", "<svg/>a": "a", "x<desc>y</desc><text>z</text>": "xyz",
+}
+
+
+@pytest.mark.parametrize("html", MISPLACED)
+def test_rendering_of_misplaced_and_foreign_text(html):
+    assert rendered(html) == MISPLACED[html]
+
+
 def test_deep_pages_do_not_break():
     assert rendered("<div>" * 50_000 + "x") == "x"
     assert rendered("<b>" * 5_000 + "x" + "</b>" * 9_000 + "y") == "xy"
