@@ -67,17 +67,33 @@ def near_masks() -> list[int]:
 
 
 class Benchmark:
-    """Shingles, weights, sizes and fingerprints of the items."""
+    """Shingles, weights, sizes and fingerprints of the items.
+
+    An item is a pair of id (null too) and text, so repeated rows count once.
+    Equal texts share one bag: ``item`` is a hash of the text, and ``names``
+    holds the ids of each.
+    """
 
     def __init__(self, items: DataFrame, keep, id_col: str, text_col: str):
-        listed = items.select(F.col(id_col).alias("item"), shingles(F.col(text_col)).alias("s"))
+        text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+        listed = items.select(F.col(id_col).alias("name"), F.xxhash64(text).alias("item"), text.alias("text"))
+        self.names = keep(listed.select("name", "item").distinct())
+        total = self.names.count()
+        texts = (
+            listed.groupBy("item")
+            .agg(F.first("text").alias("text"))
+            .join(self.names.groupBy("item").agg(F.count("*").alias("named")), "item")
+            .select("item", "named", shingles(F.col("text")).alias("s"))
+        )
         rows = keep(
-            listed.select("item", F.size("s").alias("size"), F.posexplode("s").alias("place", "shingle"))
+            texts.select("item", "named", F.size("s").alias("size"), F.posexplode("s").alias("place", "shingle"))
+        )
+        holders = rows.groupBy("shingle", "item").agg(
+            F.first("named").alias("named"), F.min("place").alias("place")
         )
-        total = items.count()
         self.vocabulary = keep(
-            rows.groupBy("shingle")
-            .agg(F.countDistinct("item").alias("df"), F.max((F.col("place") == 0)).alias("opens"))
+            holders.groupBy("shingle")
+            .agg(F.sum("named").alias("df"), F.max(F.col("place") == 0).alias("opens"))
             .select("shingle", "opens", F.round(SCALE * F.log1p(F.lit(total) / F.col("df"))).cast("long").alias("weight"))
         )
         #: Weight of a shingle that no item has.
@@ -132,8 +148,9 @@ def contaminated(
     ``key`` is a hash of the text.  Null and short texts (under five words) have
     no shingles and match nothing, on either side; an empty table on either side
     gives no rows; equal windows are settled by the first place; repeated rows
-    are reported once per id, and all their texts share the key; other columns
-    are not read.
+    are reported once per id, and all their texts share the key; repeated item
+    rows count once, each text of an item id is looked for by itself, and null
+    item ids are reported as null; other columns are not read.
     """
     bench = Benchmark(items, keep, item_id, item_text)
     hits = keep(found_shingles(docs, bench, id_col, text_col))
@@ -187,16 +204,18 @@ def contaminated(
     verified = common.filter(100 * F.col("common") >= PERCENT * union).withColumn(
         "similarity", F.col("common") / union
     )
-    best = verified.groupBy("key", "item").agg(
-        F.max(
-            F.struct("similarity", (-F.col("start")).alias("back"), "size", "hamming")
-        ).alias("best")
+    best = (
+        verified.groupBy("key", "item")
+        .agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "size", "hamming")).alias("best"))
+        .join(bench.names, "item")
+        .groupBy("key", "name")
+        .agg(F.max("best").alias("best"))
     )
     named = hits.select("id", "key").distinct()
     return best.join(named, "key").select(
         F.col("id").alias(id_col),
         "key",
-        F.col("item").alias(item_id),
+        F.col("name").alias(item_id),
         (-F.col("best.back")).cast("long").alias("start_word"),
         (F.col("best.size") + WINDOW - 1).cast("long").alias("n_words"),
         F.col("best.hamming").cast("long").alias("hamming"),

@@ -194,6 +194,21 @@ def test_leaks_of_odd_rows(spark):
     assert dc.decontaminated(docs(spark, ODD), items, written).count() >= len(ODD) - 2
 
 
+def test_leaks_of_repeated_and_unnamed_items(spark):
+    rng = random.Random(8)
+    texts = [" ".join(invented(rng, 20)) for _ in range(6)]
+    items = [(1, texts[0]), (1, texts[0]), (None, texts[1]), (None, texts[1]), (2, texts[2]), (2, texts[3])]
+    items += [(None, texts[4]), (4, texts[0]), (5, None), (None, None)]
+    rows = [(k, t, "s") for k, t in enumerate(texts)] + [(9, texts[2] + " " + texts[3], "s"), (None, texts[1], "s")]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = Counter((r.doc_id, r.item_id, r.similarity) for r in dc.contaminated(docs(spark, rows), table, written).collect())
+    pairs = [(0, 1), (0, 4), (1, None), (2, 2), (3, 2), (4, None), (9, 2), (None, None)]
+    assert got == Counter((i, item, 1.0) for i, item in pairs)
+    assert [r.doc_id for r in dc.decontaminated(docs(spark, rows), table, written).collect()] == [5]
+    unnamed = table.filter("item_id is null")
+    assert {r.doc_id for r in dc.contaminated(docs(spark, rows), unnamed, written).collect()} == {1, 4, None}
+
+
 def test_blocks_reach_every_fingerprint_within_the_radius():
     rng = random.Random(1)
     masks = set(dc.near_masks())
