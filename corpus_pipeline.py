@@ -20,7 +20,8 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the toxicity models do not predict as toxic."""
     labels = table(spark, sf_dir, "labels")
     _, model = toxicity(docs, labels, fold("doc_id", 4) != 2, written)
-    return docs.filter(model.score(model.evidence(docs)) < 0.3)
+    marked = model.with_evidence(docs, name="__evidence")
+    return marked.filter(model.score(F.col("__evidence")) < 0.3).select(*docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

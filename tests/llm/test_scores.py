@@ -84,6 +84,27 @@ def test_toxicity_of_odd_rows(spark):
     assert empty.count() == 0
 
 
+def test_every_expression_is_counted_by_itself(spark):
+    # 2^20 buckets would mix these: the rare word shares its low hash bits with a common one.
+    low = {}
+    for k in range(10_000):
+        low.setdefault(hash_of(f"w{k}") & 0xFFFFF, f"w{k}")
+    rare = next(f"z{k}" for k in range(10_000_000) if hash_of(f"z{k}") & 0xFFFFF in low)
+    common = low[hash_of(rare) & 0xFFFFF]
+    texts = [(f"{common} a{k}", 0) for k in range(300)] + [(f"b{k} {rare} c c", 1) for k in range(40)]
+    rows = spark.createDataFrame([(k, t, y) for k, (t, y) in enumerate(texts)], "doc_id long, text string, label int")
+    learned = rows.select(F.col("doc_id").alias("id"), "label")
+    counts = {(r.kind, r.hash & (2**64 - 1)): (r.other, r.toxic) for r in tox.count_expressions(rows).collect()}
+    assert counts[tox.WORD, hash_of(rare)] == (0, 40) and counts[tox.WORD, hash_of(common)] == (300, 0)
+    assert counts[tox.WORDS, 0] == (600, 120) and counts[tox.PAIRS, 0] == (300, 120)
+    asked = [f"{rare} {common}", f"x {rare} c c {common}", "", "c", None, "c", f"c {rare} c c c"]
+    asked = spark.createDataFrame([(k, t) for k, t in enumerate(asked)], "doc_id long, text string")
+    small, large = (tox.fit(rows, learned, written, limit=n) for n in (1 << 20, 0))
+    assert small.entries is not None and large.entries is None
+    want, got = ({r.id: r.evidence for r in tox.scored(asked, m).collect()} for m in (small, large))
+    assert len(got) == 7 and all(got[k] == pytest.approx(want[k]) for k in want) and want[6] > 0 == want[2]
+
+
 def test_shallow_trees_and_pairs_learn_what_they_should():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(4000, len(qc.FEATURES))).astype(np.float32)
