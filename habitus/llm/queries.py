@@ -9,12 +9,15 @@ from habitus.llm.decontaminate import contaminated
 from habitus.llm.html_text import html_text
 from habitus.llm.jaccard_join import jaccard_components
 from habitus.llm.mixing import mix
+from habitus.llm.pivot_clusters import pivot_clusters
+from habitus.llm.prefix_trie import prefix_trie
 from habitus.llm.quality_classifier import quality_scores
 from habitus.llm.quality_rules import quality_rules
 from habitus.llm.secrets import secret_scan
 from habitus.llm.tables import shared_folder, table, written
 from habitus.llm.token_counts import token_counts
 from habitus.llm.toxicity import toxicity
+from habitus.llm.url_filter import RULE, url_verdicts
 from habitus.llm.warc import read_records, write_archives
 
 QUERIES: dict = {}
@@ -201,3 +204,163 @@ reach(doc_id, r) as (
 select doc_id, coalesce(max(n), 0) as n_shingles, min(r) as component_id
 from reach left join n using (doc_id) group by doc_id
 """
+
+
+#: Fixed rules of the query; the operator takes any table of them.
+URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+
+
+@query
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, RULE)
+    return url_verdicts(table(spark, sf_dir, "pages"), rules, written)
+
+
+ORACLES["op11_url_filters"] = r"""
+with rules(rule_host, rule_path, verdict) as (values
+    ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+    ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+rest as (
+    select page_id, row_number() over () as n,
+           case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as r
+    from pages
+),
+hosts as (select page_id, n, r, regexp_extract(r, '^[^/?#]*') as h from rest),
+parts as (
+    select page_id, n, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+           regexp_extract(substr(r, length(h) + 1), '^[^?#]*') as path
+    from hosts
+),
+best as (
+    select n, max(struct_pack(len := length(rule_host || rule_path), rule := rule_host || rule_path, verdict := verdict)) as b
+    from parts join rules on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path)
+    group by n
+)
+select page_id, host, path, b.rule as rule, coalesce(b.verdict, 'allow') as verdict
+from parts left join best using (n)
+"""
+
+
+@query
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = pivot_clusters(table(spark, sf_dir, "embeddings"), written)
+    return rows.drop("n_measured")
+
+
+def _round_sql(k: int) -> str:
+    """Assignment to the centroids c{k} and, from it, the next centroids."""
+    return f"""
+d{k} as (
+    select v.vec_id, c.cluster, cast(sum((v.x - c.x) * (v.x - c.x)) as bigint) as distance
+    from v join c{k} c using (place) group by all
+),
+a{k} as (select vec_id, arg_min(cluster, (distance, cluster)) as cluster, min(distance) as distance from d{k} group by vec_id),
+m{k} as (
+    select a.cluster, v.place, sum(v.x) as s, count(*) as n from a{k} a join v using (vec_id) group by all
+),
+c{k + 1} as (
+    select c.cluster, c.place,
+           case when n is null then c.x else cast((s - ((s % n) + n) % n) // n as bigint) end as x
+    from c{k} c left join m{k} using (cluster, place)
+)"""
+
+
+ORACLES["op12_centroid_clusters"] = f"""
+with kept as (
+    select vec_id, embedding from embeddings
+    where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64
+),
+v as (
+    select vec_id, unnest(range(1, 65)) as place,
+           unnest(list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint))) as x
+    from kept
+),
+seeds as (
+    select vec_id, row_number() over (order by sha256('1:' || vec_id)) - 1 as cluster
+    from kept order by sha256('1:' || vec_id) limit 16
+),
+c0 as (select cluster, place, x from seeds join v using (vec_id)),
+{",".join(_round_sql(k) for k in range(4))},
+digests as (select cluster, sha256(string_agg(cast(x as varchar), ',' order by place)) as centroid_sha256 from c3 group by cluster)
+select vec_id, cast(cluster as integer) as cluster, distance,
+       cast(sum(distance) over (partition by cluster) as bigint) as cluster_inertia,
+       cast(sum(distance) over () as bigint) as inertia, centroid_sha256
+from a3 join digests using (cluster)
+"""
+
+
+@query
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"), written)
+
+
+CRC32_SQL = """
+crc_table as (
+    with recursive bits(byte, step, value) as (
+        select byte, 0, byte::bigint from (select unnest(range(0, 256)) as byte)
+        union all
+        select byte, step + 1, case when value & 1 = 1 then xor(value >> 1, 3988292384) else value >> 1 end
+        from bits where step < 8
+    )
+    select list(value order by byte) as crcs from bits where step = 8
+)"""
+
+ORACLES["op13_conversation_trie"] = f"""
+with {CRC32_SQL},
+own as (
+    select conv_id, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, ''))
+           order by turn nulls first,
+                    sha256(strlen(coalesce(role, ''))::varchar || ':' || coalesce(role, '') || coalesce(text, ''))) as turns
+    from conversations where conv_id is not null group by conv_id
+),
+heads as (
+    select own.*, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(
+               string_split(conv_id::varchar, ''), lambda ch: ascii(ch)::bigint)),
+               lambda acc, ch: xor(acc >> 8, crcs[1 + (xor(acc, ch) & 255)])), 4294967295::bigint) % 9 as h
+    from own, crc_table
+),
+built as (
+    select c.conv_id, list_concat(coalesce(b.turns, [])[1:c.h], c.turns[c.h + 1:]) as turns
+    from heads c left join own b on b.conv_id = c.conv_id - c.conv_id % 5
+),
+paths as (
+    select conv_id, d as depth, turns[1:d] as prefix, len(turns) as length
+    from (select *, unnest(range(0, len(turns) + 1)) as d from built)
+),
+nodes as (
+    select prefix, depth, min(conv_id) as conv_id, count(*) as n_convs,
+           case when depth = 0 then 0 else strlen(prefix[depth].t) end as bytes,
+           sha256(coalesce(string_agg(case when length = depth then conv_id::varchar end, ',' order by conv_id), '')) as ends_sha256
+    from paths group by prefix, depth
+),
+numbered as (
+    select *, row_number() over () as node from nodes
+),
+named as (select p.conv_id as member, p.depth, n.node from paths p join numbered n on n.prefix = p.prefix and n.depth = p.depth),
+kids as (
+    select above.node, count(distinct below.node) as n_children
+    from named above join named below on below.member = above.member and below.depth = above.depth + 1 group by 1
+),
+family as (
+    select distinct above.node as top, below.node as node
+    from named above join named below on below.member = above.member and below.depth >= above.depth
+),
+sums as (
+    select f.top as node, count(*) filter (where n_children is null) as n_leaves,
+           cast(sum((n_convs - 1) * bytes) as bigint) as saved_tokens
+    from family f join numbered n on n.node = f.node left join kids k on k.node = f.node group by 1
+),
+parents as (
+    select distinct below.node, a.conv_id as parent_conv_id
+    from named below join named above on below.member = above.member and below.depth = above.depth + 1
+    join numbered a on a.node = above.node
+)
+select n.conv_id, depth, parent_conv_id, n_convs, coalesce(n_children, 0) as n_children, n_leaves, saved_tokens, ends_sha256
+from numbered n join sums using (node) left join kids using (node) left join parents using (node)
+"""
