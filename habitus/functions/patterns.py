@@ -131,6 +131,117 @@ def java(pattern: str, flags: str = "", inline: bool = False) -> str:
     return (f"(?{mode})" if mode else "") + "".join(out)
 
 
+class _Literals:
+    """Reads a pattern once, for text that every match must contain."""
+
+    ZERO_WIDTH = "bB"
+
+    def __init__(self, pattern: str) -> None:
+        self.pattern, self.at = pattern, 0
+
+    def alternatives(self) -> tuple[str, ...] | None:
+        """One of these is in every match of what starts here; None if that is unknown."""
+        found: list[tuple[str, ...] | None] = [self.sequence()]
+        while self.pattern.startswith("|", self.at):
+            self.at += 1
+            found.append(self.sequence())
+        if any(f is None for f in found):
+            return None
+        return tuple(dict.fromkeys(x for f in found for x in f))
+
+    def sequence(self) -> tuple[str, ...] | None:
+        options: list[tuple[str, ...]] = []
+        run = ""
+        while self.at < len(self.pattern) and self.pattern[self.at] not in "|)":
+            text, needed, width = self.item()
+            least, most = self.repeat()
+            if width == 0:
+                continue
+            if text and least == most == 1:
+                run += text
+                continue
+            if text and least:
+                run += text
+            elif needed and least:
+                options.append(needed)
+            options.append((run,))
+            run = ""
+        options.append((run,))
+        options = [o for o in options if all(o)]
+        return max(options, key=lambda o: (min(map(len, o)), -len(o)), default=None)
+
+    def item(self) -> tuple[str, tuple[str, ...] | None, int]:
+        """(literal character, what a group needs, 0 if nothing is consumed)."""
+        char = self.pattern[self.at]
+        if char == "(":
+            end = _closing(self.pattern, self.at)
+            ahead = self.pattern.startswith(("(?=", "(?!", "(?<"), self.at)
+            if ahead:
+                self.at = end + 1
+                return "", None, 0
+            self.at += 3 if self.pattern.startswith("(?:", self.at) else 1
+            needed = self.alternatives()
+            self.at = end + 1
+            return "", needed, 1
+        if char == "[":
+            at = self.at + 1
+            while self.pattern[at] != "]":
+                at += 2 if self.pattern[at] == "\\" else 1
+            self.at = at + 1
+            return "", None, 1
+        if char == "\\":
+            code = self.pattern[self.at + 1]
+            self.at += 2
+            if code.isalnum():
+                return "", None, int(code not in self.ZERO_WIDTH)
+            return code, None, 1
+        self.at += 1
+        if char in "^$":
+            return "", None, 0
+        return ("", None, 1) if char == "." else (char, None, 1)
+
+    def repeat(self) -> tuple[int, int | None]:
+        """How often the item before stands here, at least and at most."""
+        char = self.pattern[self.at : self.at + 1]
+        if char not in ("?", "*", "+", "{") or not char:
+            return 1, 1
+        if char == "{":
+            self.at = self.pattern.index("}", self.at) + 1
+            least, most = 0, None
+        else:
+            self.at += 1
+            least, most = int(char == "+"), 1 if char == "?" else None
+        if self.pattern.startswith("?", self.at):
+            self.at += 1
+        return least, most
+
+
+def required_literals(pattern: str, flags: str = "") -> tuple[str, ...]:
+    """Texts one of which is part of every match of ``pattern``; () if none is known.
+
+    A search for a few bytes spares most texts the regular expression.  A text
+    that holds a shorter one of the set is left out, since that one is enough.
+    """
+    if "i" in flags:
+        return ()
+    found = _Literals(pattern).alternatives() or ()
+    return tuple(x for x in found if not any(y != x and y in x for y in found))
+
+
+def contains_any(column: Column, texts: tuple[str, ...]) -> Column:
+    present = F.contains(column, F.lit(texts[0]))
+    for text in texts[1:]:
+        present = present | F.contains(column, F.lit(text))
+    return present
+
+
+def guarded_test(column: Column, pattern: str, flags: str = "") -> Column:
+    """``test``, run only on texts that hold what every match must contain."""
+    needed = required_literals(pattern, flags)
+    found = test(column, pattern, flags)
+    return contains_any(column, needed) & found if needed else found
+
+
 def test(column: Column, pattern: str, flags: str = "", inline: bool = False) -> Column:
     """True where the pattern occurs anywhere in the column."""
     return column.rlike(java(pattern, flags, inline))
@@ -181,6 +292,10 @@ def trim(column: Column) -> Column:
     return F.btrim(column, F.lit(SPACE_CHARS))
 
 
+def trim_start(column: Column) -> Column:
+    return F.ltrim(column, F.lit(SPACE_CHARS))
+
+
 def trim_end(column: Column) -> Column:
     return F.rtrim(column, F.lit(SPACE_CHARS))
 

@@ -60,11 +60,17 @@ def collect_evidence(
     project's type are dropped after aggregation, when a project has at most
     one row per rule.
     """
-    hits = rule_hits(files, rules)
+    return evidence_of_hits(rule_hits(files, rules), project_types, rules)
+
+
+def evidence_of_hits(
+    hits: DataFrame, project_types: DataFrame, rules: Sequence[Rule] = RULES
+) -> DataFrame:
+    """Evidence items from (project, rule_id, path), however they were found."""
     found = first_paths_and_count(hits, ["project", "rule_id"], "path", FILES_PER_RULE)
     # the rule table has one row per rule: a fixed, tiny broadcast
     described = found.join(
-        F.broadcast(rules_table(files.sparkSession, list(rules))), "rule_id"
+        F.broadcast(rules_table(hits.sparkSession, list(rules))), "rule_id"
     )
     typed = described.join(project_types, "project", "left").withColumn(
         "project_type", F.coalesce("project_type", F.lit("unknown"))
@@ -253,6 +259,7 @@ def evidence_report_text(
 __all__ = [
     "collect_evidence",
     "confidence",
+    "evidence_of_hits",
     "evidence_order",
     "evidence_prompt",
     "evidence_report_text",

@@ -79,7 +79,7 @@ class ColumnProbe:
         return rx.test(self._path, pattern, flags)
 
     def body(self, pattern: str, flags: str = "") -> Column:
-        return rx.test(self._content, pattern, flags)
+        return rx.guarded_test(self._content, pattern, flags)
 
     def ext(self, *extensions: str) -> Column:
         return self._extension.isin(*extensions)
@@ -100,10 +100,7 @@ class ColumnProbe:
             tail = f"[{space}]*{body[1:]}"
         else:
             tail = f".*{body}"
-        present = F.contains(self._content, F.lit(needs[0]))
-        for text in needs[1:]:
-            present = present | F.contains(self._content, F.lit(text))
-        return present & self._content.rlike(f"(?m)^{skip_comment}{veto}{tail}")
+        return rx.contains_any(self._content, needs) & self._content.rlike(f"(?m)^{skip_comment}{veto}{tail}")
 
     def pinia(self) -> Column:
         """Imports pinia, declares a store, or creates the store container."""

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from habitus.functions import patterns as rx
 from habitus.functions.languages import file_priority
 from habitus.functions.paths import IMPORTANT_SCORE, layer_scores
+from habitus.operators.facts import scored_layers
 from habitus.operators.skew import top_k, within_budget
 from habitus.session import broadcast_if_small, cut_lineage
 
@@ -25,22 +27,42 @@ CUT_MARK_RESERVE = 38
 HEAD_ONLY_LIMIT = 1_000
 
 
-def code_sample(files: DataFrame, max_chars: int = SAMPLE_BUDGET) -> DataFrame:
+def _measured(files: DataFrame) -> DataFrame:
+    """Files with length, leading white space, priority and layer scores, computed next to the scan."""
+    length = F.length("content")
+    return files.withColumns(
+        {
+            "length": length,
+            "lead": length - F.length(rx.trim_start(F.col("content"))),
+            "priority": file_priority(F.col("path")),
+            "layers": layer_scores(F.col("path")),
+        }
+    )
+
+
+def _known(files: DataFrame, facts: DataFrame | None) -> DataFrame:
+    return _measured(files) if facts is None else facts.withColumn("layers", scored_layers())
+
+
+def code_sample(
+    files: DataFrame, max_chars: int = SAMPLE_BUDGET, facts: DataFrame | None = None
+) -> DataFrame:
     """(project, position, path, content): files by priority, then size, until the
     emitted characters reach the budget (W1).
 
-    Priorities and emitted lengths are computed next to the scan; the running
-    sum works on that metadata only, and contents join back for the chosen.
+    Priorities and emitted lengths come from ``facts`` or are computed next to the
+    scan; the running sum works on that metadata only, and contents join back for
+    the chosen.
     """
     length = F.length("content")
-    meta = files.select(
+    meta = _known(files, facts).select(
         "project",
         "path",
         "size",
-        file_priority(F.col("path")).alias("priority"),
+        "priority",
         F.when(
-            length > SAMPLE_FILE_LIMIT, 2 * SAMPLE_HALF + len(CUT_MARK)
-        ).otherwise(length).alias("emitted"),
+            F.col("length") > SAMPLE_FILE_LIMIT, 2 * SAMPLE_HALF + len(CUT_MARK)
+        ).otherwise(F.col("length")).alias("emitted"),
     )
     chosen = within_budget(
         meta,
@@ -77,9 +99,13 @@ def pick_files(files: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def layer_file_plan(files: DataFrame) -> DataFrame:
-    """(project, layer, position, path, size, score): best files per layer."""
+    """(project, layer, position, path, size, score): best files per layer.
+
+    ``files`` are scanned files or their facts, whose scores are taken as stored.
+    """
+    layers = scored_layers() if "scores" in files.columns else layer_scores(F.col("path"))
     scored = files.select(
-        "project", "path", "size", F.explode(layer_scores(F.col("path"))).alias("s")
+        "project", "path", "size", F.explode(layers).alias("s")
     ).select("project", "path", "size", "s.layer", "s.score")
     return top_k(
         scored.filter(F.col("score") > 0),
@@ -154,20 +180,25 @@ def truncated_length(length: Column, limit: Column) -> Column:
     )
 
 
-def layer_samples(plan: DataFrame, files: DataFrame) -> DataFrame:
+def layer_samples(
+    plan: DataFrame, files: DataFrame, facts: DataFrame | None = None
+) -> DataFrame:
     """(project, layer, position, path, content): plan files cut to the layer budget.
 
     What a file may use depends on what earlier ones emitted, so the at most 12
     (length, limit) pairs of a layer are folded in order; contents stay out of
-    the fold and are cut afterwards.
+    the fold and are cut afterwards.  A file whose cut would be blank is passed
+    over: only a short cut, which keeps the beginning alone, can be, and the count
+    of leading white space tells.
     """
-    meta = files.select(
+    meta = _known(files, facts).select(
         "project",
         "path",
         "size",
-        F.length("content").cast("int").alias("length"),
-        F.explode(layer_scores(F.col("path"))).alias("s"),
-    ).select("project", "path", "size", "length", "s.layer", "s.score")
+        F.col("length").cast("int").alias("length"),
+        F.col("lead").cast("int").alias("lead"),
+        F.explode("layers").alias("s"),
+    ).select("project", "path", "size", "length", "lead", "s.layer", "s.score")
     planned = plan.select("project", "layer", "path").join(
         meta, ["project", "layer", "path"]
     )
@@ -176,6 +207,7 @@ def layer_samples(plan: DataFrame, files: DataFrame) -> DataFrame:
         "size",
         "path",
         "length",
+        "lead",
         F.when(F.col("score") >= IMPORTANT_SCORE, LAYER_IMPORTANT_LIMIT)
         .otherwise(LAYER_FILE_LIMIT)
         .alias("limit"),
@@ -197,7 +229,8 @@ def layer_samples(plan: DataFrame, files: DataFrame) -> DataFrame:
                 F.array(F.struct(entry["path"].alias("path"), limit.alias("limit"))),
             ).alias("picked"),
         )
-        return F.when(state["total"] < LAYER_BUDGET, taken).otherwise(state)
+        blank = (entry["length"] > limit) & (limit <= HEAD_ONLY_LIMIT) & (entry["lead"] >= limit)
+        return F.when((state["total"] < LAYER_BUDGET) & ~blank, taken).otherwise(state)
 
     picked = grouped.select(
         "project",

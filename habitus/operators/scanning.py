@@ -130,6 +130,17 @@ def scannable(max_bytes: int) -> Column:
     )
 
 
+def path_filters(config: ScanConfig) -> Column:
+    """What a scan asks of size and path: limits, globs, hidden folders."""
+    return (
+        (F.col("size") > 0)
+        & (F.col("size") <= config.max_file_size)
+        & globs.match_globs(F.col("path"), config.include)
+        & ~globs.match_globs_or_ancestor(F.col("path"), config.exclude)
+        & outside_hidden_dirs(F.col("path"), config.visible_hidden_dirs)
+    )
+
+
 def scan_files(
     files_raw: DataFrame,
     config: ScanConfig = ScanConfig(),
@@ -143,10 +154,7 @@ def scan_files(
     path = F.replace(F.col("path"), F.lit("\\"), F.lit("/"))
     files = (
         files_raw.withColumn("path", path)
-        .filter((F.col("size") > 0) & (F.col("size") <= config.max_file_size))
-        .filter(globs.match_globs(F.col("path"), config.include))
-        .filter(~globs.match_globs_or_ancestor(F.col("path"), config.exclude))
-        .filter(outside_hidden_dirs(F.col("path"), config.visible_hidden_dirs))
+        .filter(path_filters(config))
         .filter(scannable(config.max_file_size))
     )
     if config.respect_gitignore and ignore is None:
@@ -295,17 +303,16 @@ def project_summary(files: DataFrame) -> DataFrame:
 
 
 def scan_fingerprint(files: DataFrame) -> DataFrame:
-    """(project, file_count, scan_hash): equal exactly when the file sets are (P10).
+    """(project, file_count, scan_hash): equal when the file sets are (P10).
 
-    An order-independent digest: every file contributes four 60-bit lanes of
+    ``files`` has contents or, from ``file_facts``, their digests.  Different sets
+    differ but for a chance collision.  An order-independent digest: every file contributes four 60-bit lanes of
     its SHA-256 and the lanes are summed, so the aggregate is a few numbers per
     project and task instead of a sorted list of all files.
     """
+    of_content = F.col("digest") if "digest" in files.columns else F.sha2("content", 256)
     digest = F.sha2(
-        F.concat_ws(
-            "\x1f", "path", F.col("size").cast("string"), F.sha2("content", 256)
-        ),
-        256,
+        F.concat_ws("\x1f", "path", F.col("size").cast("string"), of_content), 256
     )
     lanes = [
         F.conv(F.substring(F.col("__digest"), 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from habitus.config import ScanConfig
 from habitus.operators import evidence as ev
 from habitus.operators import documents as docs
+from habitus.operators import facts as fx
 from habitus.operators import governance as gv
 from habitus.operators import overview as ov
 from habitus.operators import prompts, sampling, scanning
@@ -26,7 +27,7 @@ from habitus.session import cut_lineage
 
 @dataclass(frozen=True)
 class Learned:
-    """What the first job knows about every project."""
+    """What the first job knows about every project; ``files`` are facts, without contents."""
 
     files: DataFrame
     project_types: DataFrame
@@ -40,12 +41,18 @@ class Learned:
 def prepare(
     files_raw: DataFrame, config: ScanConfig = ScanConfig(), previous: DataFrame | None = None
 ) -> Learned:
-    """Scan, evidence, samples and prompts of all projects."""
-    files = scanning.scan_files(files_raw, config)
-    kinds = cut_lineage(scanning.detect_project_type(files_raw))
-    evidence = cut_lineage(ev.collect_evidence(files, kinds))
+    """Scan, evidence, samples and prompts of all projects.
+
+    Contents are read twice: for the facts of all files, and for the samples of
+    the chosen ones.
+    """
+    known = fx.stored(fx.file_facts(files_raw, config))
+    files = fx.write_facts(fx.scanned_facts(known, config))
+    kinds = cut_lineage(fx.project_types(known))
+    evidence = cut_lineage(ev.evidence_of_hits(fx.fact_hits(files), kinds))
     plan = cut_lineage(sampling.layer_file_plan(files))
-    samples = sampling.layer_samples(plan, files)
+    contents = files_raw.withColumn("path", F.replace("path", F.lit("\\"), F.lit("/")))
+    samples = sampling.layer_samples(plan, contents, files)
     asked = prompts.layer_prompts(
         samples,
         ev.evidence_prompt(evidence, kinds),

@@ -9,6 +9,7 @@ from habitus.config import ScanConfig
 from habitus.functions import globs, languages, paths
 from habitus.functions.timefmt import format_duration, local_timestamp
 from habitus.operators import evidence as ev
+from habitus.operators import facts as fx
 from habitus.operators import rules as rl
 from habitus.operators import sampling, scanning
 from workload.views import duck_with, view
@@ -24,6 +25,12 @@ def scanned(spark: SparkSession, sf: str) -> DataFrame:
     return scanning.scan_files(raw(spark, sf), CONFIG)
 
 
+def facts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Facts of all raw files, from one read of the contents, and those the scan keeps."""
+    every = fx.stored(fx.file_facts(raw(spark, sf), CONFIG))
+    return every, fx.scanned_facts(every, CONFIG)
+
+
 def types(spark: SparkSession, sf: str) -> DataFrame:
     return scanning.detect_project_type(raw(spark, sf))
 
@@ -251,20 +258,20 @@ PRIORITY = f"""CASE WHEN regexp_extract(path, '[^/]*$') IN ({', '.join(map(q, la
 # Sequential budget: each row carries (spent so far, limit) through a recursion.
 SAMPLES_CTE = f"""{PLAN_CTE},
 queued AS (
-  SELECT p.project, p.layer, p.path, p.score, length(f.content) AS len,
+  SELECT p.project, p.layer, p.path, p.score, length(f.content) AS len, length(f.content) - length(ltrim(f.content, {_SPACE})) AS lead,
     CASE WHEN p.score >= {paths.IMPORTANT_SCORE} THEN {sampling.LAYER_IMPORTANT_LIMIT} ELSE {sampling.LAYER_FILE_LIMIT} END AS cap,
     row_number() OVER (PARTITION BY p.project, p.layer ORDER BY p.score DESC, p.size, p.path) AS ord
   FROM plan p JOIN files f ON p.project = f.project AND p.path = f.path),
 walk AS (
-  WITH RECURSIVE w(project, layer, ord, path, lim, total) AS (
-    SELECT project, layer, ord, path, least(cap, {sampling.LAYER_BUDGET}),
+  WITH RECURSIVE w(project, layer, ord, path, lim, blank, total) AS (
+    SELECT project, layer, ord, path, least(cap, {sampling.LAYER_BUDGET}), false,
       {{first}} FROM queued WHERE ord = 1
     UNION ALL
-    SELECT q.project, q.layer, q.ord, q.path, least(q.cap, {sampling.LAYER_BUDGET} - w.total),
-      w.total + {{next}}
+    SELECT q.project, q.layer, q.ord, q.path, least(q.cap, {sampling.LAYER_BUDGET} - w.total), {{blank}},
+      w.total + CASE WHEN {{blank}} THEN 0 ELSE {{next}} END
     FROM w JOIN queued q ON q.project = w.project AND q.layer = w.layer AND q.ord = w.ord + 1
     WHERE w.total < {sampling.LAYER_BUDGET})
-  SELECT * FROM w)"""
+  SELECT project, layer, row_number() OVER (PARTITION BY project, layer ORDER BY ord) AS ord, path, lim FROM w WHERE NOT blank)"""
 
 
 def _cut_len(length: str, limit: str) -> str:
@@ -275,8 +282,12 @@ def _cut_len(length: str, limit: str) -> str:
     )
 
 
+_LEFT = f"least(q.cap, {sampling.LAYER_BUDGET} - w.total)"
 SAMPLES_CTE = SAMPLES_CTE.replace(
     "{first}", _cut_len("len", f"least(cap, {sampling.LAYER_BUDGET})")
+).replace(
+    "{blank}",
+    f"(q.len > {_LEFT} AND {_LEFT} <= {sampling.HEAD_ONLY_LIMIT} AND q.lead >= {_LEFT})",
 ).replace("{next}", _cut_len("q.len", f"least(q.cap, {sampling.LAYER_BUDGET} - w.total)"))
 
 # ------------------------------------------------------------------- queries
@@ -382,7 +393,8 @@ def scan_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _evidence(spark: SparkSession, sf: str) -> DataFrame:
-    return ev.collect_evidence(scanned(spark, sf), types(spark, sf))
+    every, kept = facts(spark, sf)
+    return ev.evidence_of_hits(fx.fact_hits(kept), fx.project_types(every))
 
 
 def collect_evidence(spark: SparkSession, sf: str) -> DataFrame:
@@ -401,17 +413,22 @@ def collect_evidence(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def evidence_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return ev.evidence_stats(_evidence(spark, sf), types(spark, sf), ["project", "project_type"])
+    every, kept = facts(spark, sf)
+    kinds = fx.project_types(every)
+    found = ev.evidence_of_hits(fx.fact_hits(kept), kinds)
+    return ev.evidence_stats(found, kinds, ["project", "project_type"])
 
 
 def evidence_prompt(spark: SparkSession, sf: str) -> DataFrame:
-    return ev.evidence_prompt(_evidence(spark, sf), types(spark, sf))
+    every, kept = facts(spark, sf)
+    kinds = fx.project_types(every)
+    return ev.evidence_prompt(ev.evidence_of_hits(fx.fact_hits(kept), kinds), kinds)
 
 
 def evidence_report(spark: SparkSession, sf: str) -> DataFrame:
-    files = scanned(spark, sf)
-    kinds = types(spark, sf)
-    found = ev.collect_evidence(files, kinds)
+    every, files = facts(spark, sf)
+    kinds = fx.project_types(every)
+    found = ev.evidence_of_hits(fx.fact_hits(files), kinds)
     head = ev.evidence_reports(scanning.project_summary(files), kinds, found)
     return ev.evidence_report_text(head, found, F.lit("2024-05-06 07:08:09").cast("timestamp"), "en")
 
@@ -427,7 +444,7 @@ def code_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def layer_file_plan(spark: SparkSession, sf: str) -> DataFrame:
-    return sampling.layer_file_plan(scanned(spark, sf)).select(
+    return sampling.layer_file_plan(facts(spark, sf)[1]).select(
         "project", "layer", F.col("position").cast("bigint").alias("position"), "path",
         F.col("score").cast("bigint").alias("score"),
     )
@@ -460,9 +477,14 @@ def merge_file_plans(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def ignored_paths(spark: SparkSession, sf: str) -> DataFrame:
+    files = raw(spark, sf)
+    return fx.ignored_paths(files.select("project", "path"), files)
+
+
 def layer_samples(spark: SparkSession, sf: str) -> DataFrame:
-    files = scanned(spark, sf)
-    return sampling.layer_samples(sampling.layer_file_plan(files), files).select(
+    kept = fx.write_facts(facts(spark, sf)[1])
+    return sampling.layer_samples(sampling.layer_file_plan(kept), raw(spark, sf), kept).select(
         "project", "layer", F.col("position").cast("bigint").alias("position"), "path",
         F.length("content").cast("bigint").alias("n_chars"),
         F.md5(F.col("content")).alias("content_md5"),
@@ -489,7 +511,7 @@ QUERIES = {
         project_summary, file_attributes, layer_file_scores, line_probes, rule_targets, rule_hits,
         content_hashes, scan_fingerprint, collect_evidence, evidence_stats, evidence_prompt,
         evidence_report, code_sample, layer_file_plan, sanitize_file_plan, merge_file_plans,
-        layer_samples, file_listing, time_labels,
+        layer_samples, file_listing, time_labels, ignored_paths,
     )
 }
 QUERIES["detect_project_type"] = types
@@ -578,6 +600,8 @@ SELECT project, path, {SqlProbe.production} AS production, language,
       w AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY project ORDER BY line ROWS UNBOUNDED PRECEDING) AS used FROM l),
       g AS (SELECT project, count(*) AS n, count(*) FILTER (used <= 900) AS k, string_agg(line, chr(10) ORDER BY line) FILTER (used <= 900) AS shown FROM w GROUP BY project)
       SELECT project, concat_ws(chr(10), shown, CASE WHEN n > k THEN '... ' || (n - k) || ' more file(s) omitted' END) AS listing FROM g""",
+    "ignored_paths": f"""WITH {duck_with('v_files_raw')}, {IGNORE_CTE}
+      SELECT f.project, f.path FROM v_files_raw f JOIN ign_rx i ON f.project = i.project WHERE regexp_matches(f.path, i.rx)""",
     "time_labels": f"""WITH {duck_with('v_calls')}, d AS (SELECT event_id, called_at, duration_ms * (event_id % 997) AS ms FROM v_calls),
       e AS (SELECT *, CAST(floor(ms / 1000 + 0.5) AS BIGINT) AS s FROM d)
       SELECT event_id, CASE WHEN ms < 1000 THEN ms || 'ms' WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN s // 60 || 'm ' || s % 60 || 's'
