@@ -132,45 +132,45 @@ def java(pattern: str, flags: str = "", inline: bool = False) -> str:
 
 
 class _Literals:
-    """Reads a pattern once, for text that every match must contain."""
+    """Reads a pattern once, for text that its matches must contain."""
 
     ZERO_WIDTH = "bB"
+    #: More ways than this are not told apart.
+    MOST = 12
 
     def __init__(self, pattern: str) -> None:
         self.pattern, self.at = pattern, 0
 
-    def alternatives(self) -> tuple[str, ...] | None:
-        """One of these is in every match of what starts here; None if that is unknown."""
-        found: list[tuple[str, ...] | None] = [self.sequence()]
+    def alternatives(self) -> set[frozenset[str]]:
+        """Every match of what starts here contains all texts of one of these sets."""
+        found = self.sequence()
         while self.pattern.startswith("|", self.at):
             self.at += 1
-            found.append(self.sequence())
-        if any(f is None for f in found):
-            return None
-        return tuple(dict.fromkeys(x for f in found for x in f))
+            found = found | self.sequence()
+        return found
 
-    def sequence(self) -> tuple[str, ...] | None:
-        options: list[tuple[str, ...]] = []
+    def sequence(self) -> set[frozenset[str]]:
+        ways: set[frozenset[str]] = {frozenset()}
         run = ""
+
+        def closed() -> set[frozenset[str]]:
+            return {w | {run} for w in ways} if run else ways
+
         while self.at < len(self.pattern) and self.pattern[self.at] not in "|)":
-            text, needed, width = self.item()
+            text, inner, width = self.item()
             least, most = self.repeat()
             if width == 0:
                 continue
-            if text and least == most == 1:
-                run += text
-                continue
             if text and least:
                 run += text
-            elif needed and least:
-                options.append(needed)
-            options.append((run,))
-            run = ""
-        options.append((run,))
-        options = [o for o in options if all(o)]
-        return max(options, key=lambda o: (min(map(len, o)), -len(o)), default=None)
-
-    def item(self) -> tuple[str, tuple[str, ...] | None, int]:
+                if most == 1:
+                    continue
+            ways, run = closed(), ""
+            if inner and least and len(ways) * len(inner) <= self.MOST:
+                ways = {w | i for w in ways for i in inner}
+        return closed()
+
+    def item(self) -> tuple[str, set[frozenset[str]] | None, int]:
         """(literal character, what a group needs, 0 if nothing is consumed)."""
         char = self.pattern[self.at]
         if char == "(":
@@ -180,9 +180,9 @@ class _Literals:
                 self.at = end + 1
                 return "", None, 0
             self.at += 3 if self.pattern.startswith("(?:", self.at) else 1
-            needed = self.alternatives()
+            inner = self.alternatives()
             self.at = end + 1
-            return "", needed, 1
+            return "", inner, 1
         if char == "[":
             at = self.at + 1
             while self.pattern[at] != "]":
@@ -203,7 +203,7 @@ class _Literals:
     def repeat(self) -> tuple[int, int | None]:
         """How often the item before stands here, at least and at most."""
         char = self.pattern[self.at : self.at + 1]
-        if char not in ("?", "*", "+", "{") or not char:
+        if char not in ("?", "*", "+", "{"):
             return 1, 1
         if char == "{":
             self.at = self.pattern.index("}", self.at) + 1
@@ -216,30 +216,51 @@ class _Literals:
         return least, most
 
 
-def required_literals(pattern: str, flags: str = "") -> tuple[str, ...]:
-    """Texts one of which is part of every match of ``pattern``; () if none is known.
+def _shortened(way: frozenset[str]) -> frozenset[str]:
+    """Without texts that are part of another text of the set."""
+    return frozenset(x for x in way if not any(x != y and x in y for y in way))
 
-    A search for a few bytes spares most texts the regular expression.  A text
-    that holds a shorter one of the set is left out, since that one is enough.
-    """
-    if "i" in flags:
-        return ()
-    found = _Literals(pattern).alternatives() or ()
-    return tuple(x for x in found if not any(y != x and y in x for y in found))
 
+def required_literals(pattern: str, flags: str = "") -> list[tuple[str, ...]]:
+    """Sets of texts; every match of ``pattern`` contains all texts of one of them.
 
-def contains_any(column: Column, texts: tuple[str, ...]) -> Column:
-    present = F.contains(column, F.lit(texts[0]))
-    for text in texts[1:]:
-        present = present | F.contains(column, F.lit(text))
-    return present
-
+    A search for a few bytes spares most texts the regular expression.  A set
+    that another one follows from is left out; [] if nothing is known.  Patterns
+    that ignore case give lower-case texts, for a lower-cased column.
+    """
+    ways = _Literals(pattern).alternatives()
+    if "i" in flags:
+        ways = {frozenset(x.lower() for x in w) for w in ways}
+    ways = {_shortened(w) for w in ways}
+    if frozenset() in ways:
+        return []
+    implied = lambda w, v: all(any(x in y for y in w) for x in v)
+    kept = [w for w in ways if not any(v != w and implied(w, v) for v in ways)]
+    return sorted(tuple(sorted(w, key=lambda x: (-len(x), x))) for w in kept)
+
+
+def contains_any(column: Column, ways: list[tuple[str, ...]]) -> Column:
+    """The column holds all texts of one of the sets."""
+    found = None
+    for texts in ways:
+        every = F.contains(column, F.lit(texts[0]))
+        for text in texts[1:]:
+            every = every & F.contains(column, F.lit(text))
+        found = every if found is None else found | every
+    return found
+
+
+def guarded_test(
+    column: Column, pattern: str, flags: str = "", lowered: Column | None = None
+) -> Column:
+    """``test``, run only on texts that hold what every match must contain.
 
-def guarded_test(column: Column, pattern: str, flags: str = "") -> Column:
-    """``test``, run only on texts that hold what every match must contain."""
-    needed = required_literals(pattern, flags)
+    Patterns that ignore case are guarded where the ``lowered`` column is at hand.
+    """
+    place = lowered if "i" in flags else column
+    needed = required_literals(pattern, flags) if place is not None else []
     found = test(column, pattern, flags)
-    return contains_any(column, needed) & found if needed else found
+    return contains_any(place, needed) & found if needed else found
 
 
 def test(column: Column, pattern: str, flags: str = "", inline: bool = False) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from habitus.functions.timefmt import local_timestamp
-from habitus.operators.rules import RULES, ColumnProbe, Rule, rule_applies, rules_table
+from habitus.operators.rules import RULES, Rule, rule_applies, rule_conditions, rules_table, shared_columns
 from habitus.operators.skew import first_paths_and_count
 
 # Evidence files kept per rule, and those quoted in a prompt.
@@ -32,10 +32,15 @@ def rule_hits(files: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     is not a named column on purpose: a filter on its size would be derived and
     pushed below, and every pattern would run twice.
     """
-    probe = ColumnProbe(F.col("path"), F.col("extension"), F.col("content"))
     matched = F.array_compact(
-        F.array(*[F.when(rule.when(probe), F.lit(rule.id)) for rule in rules])
+        F.array(
+            *[
+                F.when(condition, F.lit(rule.id))
+                for rule, condition in zip(rules, rule_conditions(tuple(rules)))
+            ]
+        )
     )
+    files = files.withColumns(shared_columns())
     return files.select("project", F.explode(matched).alias("rule_id"), "path")
 
 

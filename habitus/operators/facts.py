@@ -26,7 +26,7 @@ from habitus.functions import patterns as rx
 from habitus.functions.languages import detect_language, file_priority
 from habitus.functions.paths import LAYERS, file_extension, layer_scores
 from habitus.operators import scanning
-from habitus.operators.rules import RULES, ColumnProbe, Rule
+from habitus.operators.rules import RULES, Rule, rule_conditions, shared_columns
 from habitus.session import shared_folder
 
 #: Rules in one long of the mask.
@@ -36,13 +36,14 @@ KEPT_TEXTS = ("package.json", ".gitignore")
 KEY = ("project", "path")
 
 
-def rule_mask(rules: Sequence[Rule], probe: ColumnProbe) -> Column:
+def rule_mask(rules: Sequence[Rule]) -> Column:
     """One bit per rule, in longs of ``BITS`` rules."""
     words = []
-    for first in range(0, len(rules), BITS):
+    conditions = rule_conditions(tuple(rules))
+    for first in range(0, len(conditions), BITS):
         word = F.lit(0).cast("bigint")
-        for bit, rule in enumerate(rules[first : first + BITS]):
-            word = word.bitwiseOR(F.when(rule.when(probe), F.lit(1 << bit)).otherwise(F.lit(0)).cast("bigint"))
+        for bit, condition in enumerate(conditions[first : first + BITS]):
+            word = word.bitwiseOR(F.when(condition, F.lit(1 << bit)).otherwise(F.lit(0)).cast("bigint"))
         words.append(word)
     return F.array(*words)
 
@@ -57,11 +58,16 @@ def file_facts(
     that say more than its path does are null where they do not.  ``lead`` counts
     the white space the content begins with.
     """
-    path = F.replace(F.col("path"), F.lit("\\"), F.lit("/"))
-    files = files_raw.select("project", path.alias("path"), "content", F.col("size").cast("bigint").alias("size"))
+    files = scanning.with_slashes(files_raw).select("project", "path", "content", F.col("size").cast("bigint").alias("size"))
     kept = F.coalesce(scanning.path_filters(config) & scanning.scannable(config.max_file_size), F.lit(False))
-    marked = files.withColumn("scanned", kept).withColumn("extension", file_extension(F.col("path")))
-    probe = ColumnProbe(F.col("path"), F.col("extension"), F.col("content"))
+    # columns of their own, so that the rules share them instead of repeating them
+    marked = files.withColumns(
+        {
+            "scanned": kept,
+            "extension": file_extension(F.col("path")),
+            **shared_columns(),
+        }
+    )
     here = lambda value: F.when(F.col("scanned"), value)
     scores = F.transform(layer_scores(F.col("path")), lambda s: s["score"])
     length = F.length("content")
@@ -73,7 +79,7 @@ def file_facts(
         here(F.sha2("content", 256)).alias("digest"),
         here(file_priority(F.col("path"))).alias("priority"),
         here(scores).alias("scores"),
-        here(rule_mask(rules, probe)).alias("mask"),
+        here(rule_mask(rules)).alias("mask"),
         F.when(F.col("path").isin(*KEPT_TEXTS), F.col("content")).alias("text"),
     )
 

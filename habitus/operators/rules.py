@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -71,12 +72,17 @@ class Rule:
 class ColumnProbe:
     """Compiles the rule vocabulary to Spark columns."""
 
-    def __init__(self, path: Column, extension: Column, content: Column) -> None:
+    def __init__(
+        self, path: Column, extension: Column, content: Column,
+        production: Column | None = None, lowered: Column | None = None,
+    ) -> None:
+        """``production`` and ``lowered``, the lower-cased path, where they are columns already."""
         self._path, self._extension, self._content = path, extension, content
-        self.production = is_production_file(path)
+        self._lowered = F.lower(path) if lowered is None else lowered
+        self.production = is_production_file(path) if production is None else production
 
     def path(self, pattern: str, flags: str = "") -> Column:
-        return rx.test(self._path, pattern, flags)
+        return rx.guarded_test(self._path, pattern, flags, self._lowered)
 
     def body(self, pattern: str, flags: str = "") -> Column:
         return rx.guarded_test(self._content, pattern, flags)
@@ -100,7 +106,7 @@ class ColumnProbe:
             tail = f"[{space}]*{body[1:]}"
         else:
             tail = f".*{body}"
-        return rx.contains_any(self._content, needs) & self._content.rlike(f"(?m)^{skip_comment}{veto}{tail}")
+        return rx.contains_any(self._content, [(text,) for text in needs]) & self._content.rlike(f"(?m)^{skip_comment}{veto}{tail}")
 
     def pinia(self) -> Column:
         """Imports pinia, declares a store, or creates the store container."""
@@ -835,6 +841,22 @@ RULES: list[Rule] = [
 ]
 
 
+@lru_cache(maxsize=16)
+def rule_conditions(rules: tuple[Rule, ...]) -> list[Column]:
+    """The rules' predicates over the columns path, extension, content, production, lowered.
+
+    Expressions name columns only, so they are built once and used for any table.
+    """
+    probe = ColumnProbe(*map(F.col, ("path", "extension", "content", "production", "lowered")))
+    return [rule.when(probe) for rule in rules]
+
+
+def shared_columns() -> dict[str, Column]:
+    """The columns ``rule_conditions`` shares, so that no rule computes them again."""
+    path = F.col("path")
+    return {"production": is_production_file(path), "lowered": F.lower(path)}
+
+
 def register_rule(
     id: str,
     layer: str,

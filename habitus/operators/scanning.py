@@ -130,6 +130,11 @@ def scannable(max_bytes: int) -> Column:
     )
 
 
+def with_slashes(files_raw: DataFrame) -> DataFrame:
+    """Raw files with one kind of path separator."""
+    return files_raw.withColumn("path", F.replace(F.col("path"), F.lit("\\"), F.lit("/")))
+
+
 def path_filters(config: ScanConfig) -> Column:
     """What a scan asks of size and path: limits, globs, hidden folders."""
     return (
@@ -151,9 +156,8 @@ def scan_files(
     ``ignore`` takes a prepared (project, ignore_regex) table, so that a large
     corpus does not look for its ignore files twice.
     """
-    path = F.replace(F.col("path"), F.lit("\\"), F.lit("/"))
     files = (
-        files_raw.withColumn("path", path)
+        with_slashes(files_raw)
         .filter(path_filters(config))
         .filter(scannable(config.max_file_size))
     )

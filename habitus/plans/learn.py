@@ -51,8 +51,7 @@ def prepare(
     kinds = cut_lineage(fx.project_types(known))
     evidence = cut_lineage(ev.evidence_of_hits(fx.fact_hits(files), kinds))
     plan = cut_lineage(sampling.layer_file_plan(files))
-    contents = files_raw.withColumn("path", F.replace("path", F.lit("\\"), F.lit("/")))
-    samples = sampling.layer_samples(plan, contents, files)
+    samples = sampling.layer_samples(plan, scanning.with_slashes(files_raw), files)
     asked = prompts.layer_prompts(
         samples,
         ev.evidence_prompt(evidence, kinds),

@@ -168,11 +168,11 @@ class SqlProbe:
         )
 
 
-def _rules_values() -> str:
+def _rules_values(rules: list[rl.Rule] = rl.RULES) -> str:
     rows = [
         f"({q(r.id)}, {q(r.layer)}, {q(r.category)}, {q(r.summary)}, {r.min_high}, {r.min_medium},"
         f" [{', '.join(map(q, r.applies_to))}]::VARCHAR[])"
-        for r in rl.RULES
+        for r in rules
     ]
     return (
         "rules AS (SELECT * FROM (VALUES " + ", ".join(rows) + ")"
@@ -195,16 +195,17 @@ def _applies() -> str:
     )
 
 
-def _hits_cte() -> str:
+def _hits_cte(rules: list[rl.Rule] = rl.RULES) -> str:
     probe = SqlProbe()
     cases = ", ".join(
-        f"CASE WHEN {r.when(probe)} THEN {q(r.id)} END" for r in rl.RULES
+        f"CASE WHEN {r.when(probe)} THEN {q(r.id)} END" for r in rules
     )
     return f"""hits AS (
   SELECT project, path, unnest(list_filter([{cases}], lambda x: x IS NOT NULL)) AS rule_id FROM files)"""
 
 
-EVIDENCE_CTE = f"""{FILES_CTE}, {TYPES_CTE}, {_rules_values()}, {_hits_cte()},
+def evidence_cte(rules: list[rl.Rule] = rl.RULES) -> str:
+    return f"""{FILES_CTE}, {TYPES_CTE}, {_rules_values(rules)}, {_hits_cte(rules)},
 found AS (
   SELECT project, rule_id, count(*) AS n,
     list_slice(list_sort(list(path)), 1, {ev.FILES_PER_RULE}) AS files
@@ -222,6 +223,9 @@ ordered AS (
   FROM evidence)"""
 
 
+EVIDENCE_CTE = evidence_cte()
+
+
 def _layer_score_sql(layer: str) -> str:
     parts = []
     for pattern, named, other in paths.LAYER_PATH_WEIGHTS:
@@ -444,7 +448,7 @@ def code_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def layer_file_plan(spark: SparkSession, sf: str) -> DataFrame:
-    return sampling.layer_file_plan(facts(spark, sf)[1]).select(
+    return sampling.layer_file_plan(scanned(spark, sf)).select(
         "project", "layer", F.col("position").cast("bigint").alias("position"), "path",
         F.col("score").cast("bigint").alias("score"),
     )

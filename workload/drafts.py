@@ -12,7 +12,7 @@ from habitus.operators import evidence as ev
 from habitus.operators import governance as gv
 from habitus.operators import runs as rn
 from habitus.operators import scanning
-from habitus.operators.rules import RULES, register_rule
+from habitus.operators.rules import RULES, Rule, register_rule
 from habitus.session import cut_lineage
 from workload import corpus
 from workload import documents as wd
@@ -90,11 +90,10 @@ def layer_prompts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def register_rule_query(spark: SparkSession, sf: str) -> DataFrame:
-    """A rule set with one rule more: opaque logic as a column of its own."""
+    """The whole rule set with one rule more."""
     rules = register_rule(
         "long-article", "L3", "Prose", "Long text with an article.",
         lambda f: f.ext(".md", ".html") & f.body(r"\bthe\b", "i"), min_high=3,
-        rules=[r for r in RULES if r.layer == "L6"],
     )
     found = ev.collect_evidence(corpus.scanned(spark, sf), corpus.types(spark, sf), rules)
     return found.select("project", "rule_id", "confidence", "count")
@@ -147,6 +146,10 @@ QUERIES["register_rule"] = register_rule_query
 
 # ----------------------------------------------------------------- SQL side
 
+_ARTICLE = Rule(
+    "long-article", "L3", "Prose", "Long text with an article.",
+    lambda f: f.ext(".md", ".html") & f.body(r"\bthe\b", "i"), min_high=3,
+)
 _BS = chr(92)
 _GOV = f"WITH {duck_with('v_governed_docs')},{s.lines_cte('v_governed_docs', doc='skill, project_type, layer')}"
 _GOV = f"""WITH {duck_with('v_governed_docs')}, gdocs AS (SELECT *, row_number() OVER (ORDER BY skill, project_type, layer) AS doc_id FROM v_governed_docs),{s.lines_cte('gdocs')}"""
@@ -237,7 +240,7 @@ ORACLES = {
       CAST(sum(CASE WHEN answered THEN fl ELSE 0 END) AS BIGINT) AS response_chars, CAST(sum(CASE WHEN answered THEN w ELSE 0 END) AS BIGINT) AS prompt_tokens,
       CAST(sum(CASE WHEN answered THEN least(need, budget) ELSE 0 END) AS BIGINT) AS completion_tokens, CAST(0 AS BIGINT) AS reasoning_tokens,
       CAST(sum(CASE WHEN answered THEN w + least(need, budget) ELSE 0 END) AS BIGINT) AS total_tokens FROM b GROUP BY ALL""",
-    "register_rule": f"""WITH {corpus.FILES_CTE}, h AS (SELECT project, path, 'long-article' AS rule_id, 3 AS hi FROM files WHERE extension IN ('.md', '.html') AND regexp_matches(content, '(?i)\\bthe\\b')
-        {' '.join(f"UNION ALL SELECT project, path, {q(r.id)}, {r.min_high} FROM files WHERE {r.when(corpus.SqlProbe())}" for r in RULES if r.layer == 'L6')})
-      SELECT project, rule_id, CASE WHEN count(*) >= first(hi) THEN 'high' WHEN count(*) >= 2 THEN 'medium' ELSE 'low' END AS confidence, count(*) AS "count" FROM h GROUP BY project, rule_id""",
+    "register_rule": corpus.evidence_cte([*RULES, _ARTICLE]).join(
+        ["WITH ", """ SELECT project, rule_id, confidence, "count" FROM evidence"""]
+    ),
 }

@@ -36,8 +36,27 @@ LAYOUTS = [
     ("deploy/d", "/Dockerfile", "FROM node:20\nRUN pnpm install"),
     ("src/router/d", ".js", "router.beforeEach((to) => { if (to.meta.token) return true })"),
     ("assets/d", ".bin", "binary"),
+    ("src/old/d", ".vue", "<script>\nexport default {\n  name: 'x',\n  methods: {}\n}\n</script>"),
+    ("src/stores/d", ".js", "import Vuex from 'vuex'\nexport default new Vuex.Store({ state: {} })\nmapState(['a'])"),
+    ("web/d", "/main.js", "new Vue({ el: '#app', router, store })"),
+    ("web/d", "/app.ts", "createApp(App).use(router)"),
+    ("web/d", "/vite.config.ts", "export default {}"),
+    ("ui/d", "/index.tsx", "export * from './button'"),
+    ("app/d", "/page.tsx", "export default function Page() {}"),
+    ("server/routes/d", ".js", "router.get('/x', handler)"),
+    ("server/models/d", ".ts", "const db = new PrismaClient()"),
+    ("server/middleware/d", ".ts", "app.use(helmet())"),
+    ("pkg/d", "/schemas.py", "class User(BaseModel): ..."),
+    ("internal/handlers/d", ".go", "http.HandleFunc(\"/x\", serve)"),
+    ("Data/d", "/Context.cs", "class Context : DbContext {}"),
+    ("app/Models/d", ".php", "class User extends Model {}"),
+    ("app/Requests/d", ".php", "public function rules() { return ['a' => 'required|string']; }"),
+    ("backend/d", "/config/routes.rb", "Rails.application.routes.draw do\n  resources :users\nend"),
+    ("app/services/d", ".rb", "class Pay\nend"),
+    ("conf/d", "/.env", "MODE=dev"),
+    ("src/api/blank/d", "/client.ts", " " * 1200 + "\nexport const late = 1"),
 ]
-# Root manifests by project: what the length of the name selects.
+# Manifests by project: what a digest of the name selects.
 MANIFESTS = [
     ("package.json", '{"dependencies":{"vue":"^3.4.0","pinia":"2"}}'),
     ("package.json", '{"dependencies":{"vue":"^3.0.0"},"devDependencies":{"vue":"2.7.0"}}'),
@@ -48,6 +67,12 @@ MANIFESTS = [
     ("Cargo.toml", "[package]"),
     ("package.json", '{"devDependencies":{"express":"4"}}'),
     ("services/api/pyproject.toml", "[project]"),
+    ("package.json", '{"dependencies":{"react":"18"}}'),
+    ("package.json", '{"dependencies":{"@angular/core":"17"}}'),
+    ("package.json", '{"devDependencies":{"svelte":"4"}}'),
+    ("package.json", '{"dependencies":{"@nestjs/core":"10","express":"4"}}'),
+    ("requirements.txt", "fastapi"),
+    ("api/go.mod", "module api"),
 ]
 IGNORE_FILE = "# build output\n  dist  \n\n/private/\n*.gen.ts\nlegacy/**\n!keep\n"
 
@@ -57,6 +82,8 @@ _DUCK = {
     "k": "CAST(json_extract(props, '$.k') AS BIGINT)",
     "millis": "epoch_ms(ts)",
     "chr10": "chr(10)",
+    "pick": "list_extract([{0}], 1 + {1})",
+    "digest": "CAST('0x' || substr(md5({0}), 1, 6) AS BIGINT)",
 }
 _SPARK = {
     "bytes": "octet_length({0})",
@@ -64,6 +91,8 @@ _SPARK = {
     "k": "CAST(get_json_object(props, '$.k') AS BIGINT)",
     "millis": "unix_millis(ts)",
     "chr10": "chr(10)",
+    "pick": "element_at(array({0}), 1 + {1})",
+    "digest": "CAST(conv(substr(md5({0}), 1, 6), 16, 10) AS BIGINT)",
 }
 
 
@@ -83,17 +112,17 @@ def _spark_quote(text: str) -> str:
     return "(" + " || chr(10) || ".join(pieces) + ")"
 
 
-def _case(index: str, values: list[str], lit) -> str:
-    arms = " ".join(f"WHEN {i} THEN {lit(v)}" for i, v in enumerate(values))
-    return f"CASE {index} {arms} END"
+def _pick(index: str, values: list[str], lit, f) -> str:
+    """The text at a place of a constant list; one look-up, however long the list."""
+    return f["pick"].replace("{1}", index).replace("{0}", ", ".join(lit(v) for v in values))
 
 
 def _files_raw(lit, f) -> str:
     n = len(LAYOUTS)
     which = f"CAST(doc_id % {n} AS INT)"
-    prefix = _case(which, [a for a, _, _ in LAYOUTS], lit)
-    suffix = _case(which, [b for _, b, _ in LAYOUTS], lit)
-    head = _case(which, [c for _, _, c in LAYOUTS], lit)
+    prefix = _pick(which, [a for a, _, _ in LAYOUTS], lit, f)
+    suffix = _pick(which, [b for _, b, _ in LAYOUTS], lit, f)
+    head = _pick(which, [c for _, _, c in LAYOUTS], lit, f)
     docs = (
         f"SELECT source AS project, {prefix} || CAST(doc_id AS STRING) || {suffix} AS path,"
         f" {head} || chr(10) || text AS content FROM documents"
@@ -111,10 +140,10 @@ def _files_raw(lit, f) -> str:
         f" UNION ALL SELECT {host} AS project FROM pages) AS p"
     )
     m = len(MANIFESTS)
-    kind = f"CAST(length(project) % {m} AS INT)"
+    kind = f"CAST({f['digest'].format('project')} % {m} AS INT)"
     manifest = (
-        f"SELECT project, {_case(kind, [a for a, _ in MANIFESTS], lit)} AS path,"
-        f" {_case(kind, [b for _, b in MANIFESTS], lit)} AS content FROM ({names}) AS n1"
+        f"SELECT project, {_pick(kind, [a for a, _ in MANIFESTS], lit, f)} AS path,"
+        f" {_pick(kind, [b for _, b in MANIFESTS], lit, f)} AS content FROM ({names}) AS n1"
         f" UNION ALL SELECT project, '.gitignore' AS path, {lit(IGNORE_FILE)} AS content"
         f" FROM ({names}) AS n2"
     )
