@@ -1,13 +1,19 @@
 """The catalog of what has been learned.
 
-``catalog`` is (lock_key, name, language, raw_languages, created_at, updated_at,
+The catalog is kept in two long tables, so that no row grows with the files of a
+type: ``entries`` (lock_key, name, language, skill_path, content_hash, created_at,
+updated_at, learn_count), one row a key, and ``sources`` (lock_key, kind, value),
+one row for every source project, source file and raw language of a key.  Lists
+are made on output only (``with_lists``).
+
+The list form of one row a key, ``catalog``, is (lock_key, name, language, raw_languages, created_at, updated_at,
 learn_count, source_projects, source_files, skill_path, content_hash), one row
 per key; ``learned`` carries the same columns without the counters.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from habitus.functions.paths import skill_path_parts
@@ -48,6 +54,117 @@ def upsert_catalog(catalog: DataFrame, learned: DataFrame, now: Column) -> DataF
     )
 
 
+#: Kinds of sources and the list each becomes on output.
+KINDS = {"project": "source_projects", "file": "source_files", "language": "raw_languages"}
+ENTRY = ("name", "language", "skill_path", "content_hash")
+SOURCE = ["lock_key", "kind", "value"]
+
+
+def as_sources(rows: DataFrame, kind: str, value: str) -> DataFrame:
+    """(lock_key, kind, value) once each, from rows with a key and a value."""
+    return (
+        rows.filter(F.col(value).isNotNull())
+        .select("lock_key", F.lit(kind).alias("kind"), F.col(value).cast("string").alias("value"))
+        .distinct()
+    )
+
+
+def new_sources(known: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``found`` that ``known`` lacks, once each (U4).
+
+    The join is by the whole row: a key with very many files is spread by them.
+    """
+    return found.select(*SOURCE).distinct().join(known.select(*SOURCE), SOURCE, "left_anti")
+
+
+def merge_sources(known: DataFrame, found: DataFrame) -> DataFrame:
+    """Set union of two source tables without a list of either (U4)."""
+    return known.select(*SOURCE).unionByName(new_sources(known, found))
+
+
+def upsert_entries(entries: DataFrame, learned: DataFrame, now: Column) -> DataFrame:
+    """The entries after one learning round, at most one learned row a key.
+
+    New keys start at one; known keys count up and keep their creation time.
+    """
+    old = entries.select("lock_key", F.struct(*ENTRY, "created_at", "updated_at", "learn_count").alias("old"))
+    new = learned.select("lock_key", F.struct(*ENTRY).alias("new"))
+    known, seen = F.col("old").isNotNull(), F.col("new").isNotNull()
+    return old.join(new, "lock_key", "full_outer").select(
+        "lock_key",
+        *[F.when(seen, F.col(f"new.{c}")).otherwise(F.col(f"old.{c}")).alias(c) for c in ENTRY],
+        F.when(known, F.col("old.created_at")).otherwise(now).alias("created_at"),
+        F.when(seen, now).otherwise(F.col("old.updated_at")).alias("updated_at"),
+        (F.coalesce("old.learn_count", F.lit(0)) + F.when(seen, 1).otherwise(0)).cast("bigint").alias("learn_count"),
+    )
+
+
+def with_lists(entries: DataFrame, sources: DataFrame, kinds: tuple[str, ...] = tuple(KINDS)) -> DataFrame:
+    """Entries with a sorted list per kind of source: the output form, as long as its lists are."""
+    lists = sources.groupBy("lock_key").agg(
+        *[
+            F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("value")))).alias(KINDS[kind])
+            for kind in kinds
+        ]
+    )
+    empty = F.array().cast("array<string>")
+    return entries.join(lists, "lock_key", "left").withColumns(
+        {KINDS[kind]: F.coalesce(KINDS[kind], empty) for kind in kinds}
+    )
+
+
+def learn_round(path: str, number: int, learned: DataFrame, found: DataFrame, now: Column) -> None:
+    """Store learning round ``number`` under ``path``: its entries and only its new sources.
+
+    Each round is a partition of both tables and replaces nothing but itself, so
+    a round that failed half-way or is delivered again leaves the same catalog.
+    """
+    spark = learned.sparkSession
+    entries, known = read_catalog(spark, path, before=number)
+    additions = new_sources(known, found)
+    for name, rows in (("sources", additions), ("entries", upsert_entries(entries, learned, now))):
+        (
+            rows.withColumn("round", F.lit(number))
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("round")
+            .parquet(f"{path}/{name}")
+        )
+
+
+ENTRY_SCHEMA = (
+    "lock_key string, name string, language string, skill_path string, content_hash string,"
+    " created_at timestamp, updated_at timestamp, learn_count bigint"
+)
+
+
+def read_catalog(spark: SparkSession, path: str, before: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(entries, sources) as they were stored before round ``before``, or last.
+
+    Entries are stored after the sources of their round, so the last round of
+    entries is one that has all its sources.
+    """
+
+    def stored(name: str, schema: str) -> DataFrame:
+        there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        files = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not files.exists(there):
+            return spark.createDataFrame([], f"{schema}, round int")
+        return spark.read.schema(f"{schema}, round int").parquet(f"{path}/{name}")
+
+    entries = stored("entries", ENTRY_SCHEMA)
+    if before is not None:
+        entries = entries.filter(F.col("round") < before)
+    last = entries.agg(F.max("round")).first()[0]
+    sources = stored("sources", "lock_key string, kind string, value string")
+    if last is None:
+        return entries.drop("round").limit(0), sources.drop("round").limit(0)
+    return (
+        entries.filter(F.col("round") == last).drop("round"),
+        sources.filter(F.col("round") <= last).drop("round"),
+    )
+
+
 def list_skills(catalog: DataFrame) -> DataFrame:
     """Entries, most recently updated first."""
     return catalog.orderBy(F.desc("updated_at"), "lock_key")

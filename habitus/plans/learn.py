@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from habitus.config import ScanConfig
 from habitus.operators import evidence as ev
-from habitus.operators import documents as docs
+from habitus.operators import catalog, documents as docs
 from habitus.operators import facts as fx
 from habitus.operators import governance as gv
 from habitus.operators import overview as ov
@@ -111,45 +111,45 @@ def update_hints(previous_rules: DataFrame, files: DataFrame) -> DataFrame:
     return prompts.update_policy(rows)
 
 
-def catalog_rows(learned: Learned, skill: str, content: DataFrame) -> DataFrame:
-    """Learned catalog rows: one per project type of a skill.
+def catalog_rows(
+    learned: Learned, skill: str, content: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """Learned (entries, sources) of the catalog: an entry per project type of a skill.
 
-    ``content`` is (project_type, content_hash).  Lists of files are part of the
-    catalog by definition and grow with the projects of one type.
+    ``content`` is (project_type, content_hash).  Files and projects are rows of
+    the sources; only the handful of languages of a type is joined into a text.
     """
+    key = F.concat_ws("/", F.lit(skill), "project_type").alias("lock_key")
     per_file = learned.files.join(learned.project_types, "project").select(
-        "project_type", "project", "language", F.concat_ws("/", "project", "path").alias("file")
+        key, "project_type", "project", "language", F.concat_ws("/", "project", "path").alias("file")
     )
-    return (
-        per_file.groupBy("project_type")
-        .agg(
-            F.array_sort(F.collect_set("language")).alias("raw_languages"),
-            F.array_sort(F.collect_set("project")).alias("source_projects"),
-            F.array_sort(F.collect_set("file")).alias("source_files"),
-        )
+    sources = catalog.as_sources(per_file, "project", "project")
+    for kind in ("file", "language"):
+        sources = sources.unionByName(catalog.as_sources(per_file, kind, kind))
+    entries = (
+        per_file.groupBy("lock_key", "project_type")
+        .agg(F.array_join(F.array_sort(F.collect_set("language")), ", ").alias("language"))
         .join(content, "project_type", "left")
         .select(
-            F.concat_ws("/", F.lit(skill), "project_type").alias("lock_key"),
-            F.col("project_type").alias("name"),
-            F.array_join("raw_languages", ", ").alias("language"),
-            "raw_languages", "source_projects", "source_files",
+            "lock_key", F.col("project_type").alias("name"), "language",
             F.concat(F.lit(f"{skill}/reference/"), "project_type", F.lit("/")).alias("skill_path"),
             "content_hash",
         )
     )
+    return entries, sources
 
 
 def reports(
-    catalog: DataFrame, reference: Reference, evidence: DataFrame
+    listed: DataFrame, reference: Reference, evidence: DataFrame
 ) -> dict[str, DataFrame]:
-    """Type rows, checks and the entry page of all references."""
+    """Type rows, checks and the entry page of all references; ``listed`` is the catalog with its lists."""
     surfaced = ov.surface(reference.layer_docs, reference.rules, reference.templates)
-    stats = cut_lineage(ov.type_stats(catalog, reference.layer_docs, surfaced, evidence))
+    stats = cut_lineage(ov.type_stats(listed, reference.layer_docs, surfaced, evidence))
     texts = ov.surfaced_texts(surfaced.type_rules, surfaced.hard_rules, surfaced.anti)
     cross = ov.cross_type_patterns(texts)
     return {
         "type_stats": stats,
-        "quality": ov.quality_checks(ov.totals(stats, catalog), cross),
-        "overview": ov.master_overview(catalog, reference.layer_docs, surfaced, stats),
+        "quality": ov.quality_checks(ov.totals(stats, listed), cross),
+        "overview": ov.master_overview(listed, reference.layer_docs, surfaced, stats),
     }
 

@@ -252,6 +252,29 @@ def test_catalog_counts_and_merges(spark):
     assert row.created_at.month == 1 and row.updated_at.month == 2
 
 
+def test_catalog_rounds_repeat_without_trace(spark, tmp_path):
+    at = lambda day: F.lit(f"2024-01-{day:02}").cast("timestamp")
+    entry = lambda *keys: spark.createDataFrame(
+        [(k, "n", "go", "s/reference/go/", "h") for k in keys],
+        "lock_key string, name string, language string, skill_path string, content_hash string",
+    )
+    source = lambda *rows: spark.createDataFrame(list(rows), "lock_key string, kind string, value string")
+    path = str(tmp_path / "catalog")
+    catalog.learn_round(path, 1, entry("a"), source(("a", "file", "f2"), ("a", "file", "f1"), ("a", "project", "p")), at(1))
+    for _ in range(2):  # delivered twice
+        catalog.learn_round(path, 2, entry("a", "b"), source(("a", "file", "f1"), ("a", "file", "f3"), ("b", "file", "f1")), at(2))
+    entries, sources = catalog.read_catalog(spark, path)
+    rows = {r.lock_key: r for r in catalog.with_lists(entries, sources).collect()}
+    assert rows["a"].source_files == ["f1", "f2", "f3"] and rows["a"].source_projects == ["p"]
+    assert (rows["a"].learn_count, rows["b"].learn_count, rows["b"].raw_languages) == (2, 1, [])
+    assert (rows["a"].created_at.day, rows["a"].updated_at.day, rows["b"].created_at.day) == (1, 2, 2)
+    assert sources.count() == sources.distinct().count() == 5
+    # sources of a round whose entries never came do not count
+    source(("a", "file", "lost")).withColumn("round", F.lit(3)).write.mode("append").partitionBy("round").parquet(f"{path}/sources")
+    assert catalog.read_catalog(spark, path)[1].count() == 5
+    assert catalog.read_catalog(spark, path, before=2)[1].count() == 3
+
+
 def test_call_logs_batch_equals_stream(spark, tmp_path):
     folder = tmp_path / "logs" / "run-1"
     folder.mkdir(parents=True)

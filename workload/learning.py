@@ -51,8 +51,26 @@ def _entries(spark: SparkSession, sf: str, half: int | None = None) -> DataFrame
     )
 
 
+def _long(spark: SparkSession, sf: str, half: int) -> tuple[DataFrame, DataFrame]:
+    """(entries, sources) of the older or newer half of the view, without a list."""
+    rows = view(spark, sf, "v_catalog").filter(F.col("k") == half)
+    entries = rows.groupBy("lock_key", "name", "language", "skill_path").agg(
+        F.sha2(F.sum("n_chars").cast("string"), 256).alias("content_hash"),
+        F.count(F.lit(1)).alias("learn_count"),
+        F.timestamp_seconds(F.min("doc_id") * 60).alias("created_at"),
+        F.timestamp_seconds(F.max("doc_id") * 60).alias("updated_at"),
+    )
+    sources = ct.as_sources(rows, "project", "source_project")
+    for kind, value in (("file", "source_file"), ("language", "language")):
+        sources = sources.unionByName(ct.as_sources(rows, kind, value))
+    return entries, sources
+
+
 def upsert_catalog(spark: SparkSession, sf: str) -> DataFrame:
-    merged = ct.upsert_catalog(_entries(spark, sf, 0), _entries(spark, sf, 1), F.lit(NOW).cast("timestamp"))
+    (entries, known), (learned, found) = _long(spark, sf, 0), _long(spark, sf, 1)
+    merged = ct.with_lists(
+        ct.upsert_entries(entries, learned, F.lit(NOW).cast("timestamp")), ct.merge_sources(known, found)
+    )
     return merged.select(
         "lock_key", "name", "language", "skill_path", "learn_count", "content_hash",
         F.array_join("raw_languages", ",").alias("raw_languages"),
@@ -63,11 +81,11 @@ def upsert_catalog(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def union_sources(spark: SparkSession, sf: str) -> DataFrame:
-    a, b = _entries(spark, sf, 0), _entries(spark, sf, 1)
-    joined = a.select("lock_key", F.col("source_files").alias("x")).join(
-        b.select("lock_key", F.col("source_files").alias("y")), "lock_key", "full_outer"
+    (entries, known), (learned, found) = _long(spark, sf, 0), _long(spark, sf, 1)
+    keys = entries.select("lock_key").union(learned.select("lock_key")).distinct()
+    return ct.with_lists(keys, ct.merge_sources(known, found), ("file",)).select(
+        "lock_key", F.array_join("source_files", ",").alias("files")
     )
-    return joined.select("lock_key", F.array_join(ct.union_sources(F.col("x"), F.col("y")), ",").alias("files"))
 
 
 def list_skills(spark: SparkSession, sf: str) -> DataFrame:
