@@ -74,6 +74,39 @@ def test_tree_source_sees_dot_and_underscore_names(spark, tmp_path):
     assert found == {".env", ".github/ci.yml", "pkg/__init__.py", "pkg/deep/a.ts"}
 
 
+def test_every_folder_is_listed_once_and_ignored_ones_never(spark, tmp_path):
+    from habitus.sources.tree import list_tree, splits
+
+    texts = {
+        "a/.gitignore": "secret/\n/out\n*.log", "a/src/x.ts": "x" * 900, "a/src/deep/er/y.ts": "y" * 5000, "a/src/deep/z.log": "z",
+        "a/secret/k.ts": "k", "a/src/secret/in/k.ts": "k", "a/out/o.ts": "o", "a/node_modules/m/i.js": "i", "a/.git/HEAD": "h",
+        "a/.github/ci.yml": "on: push", "b/secret/k.ts": "k", "b/w.ts": "w" * 300, "b/empty.ts": "",
+    }
+    for name, text in texts.items():
+        target = tmp_path / name
+        target.parent.mkdir(parents=True, exist_ok=True)
+        target.write_text(text)
+    (tmp_path / "b" / "link").symlink_to(tmp_path / "a")
+    roots = [str(tmp_path / "a"), str(tmp_path / "b")]
+    files, folders = list_tree(spark, roots)
+    listed = sorted((r.project[-1], r.path) for r in folders.collect())
+    assert listed == [
+        ("a", ""), ("a", ".github"), ("a", "src"), ("a", "src/deep"), ("a", "src/deep/er"), ("b", ""), ("b", "secret")
+    ]
+    want = {n for n in texts if not any(x in n for x in ("a/secret", "src/secret", "a/out", "node_modules", ".git/"))}
+    assert {f"{r.project[-1]}/{r.path}" for r in files.collect()} == want
+    read = read_tree(spark, roots)
+    assert {f"{r.project[-1]}/{r.path}": r.content for r in read.collect()} == {n: texts[n] for n in want if texts[n]}
+    kept = {r.path for r in scanning.scan_files(read).filter(F.col("project").endswith("a")).collect()}
+    assert kept == {"src/x.ts", "src/deep/er/y.ts", ".github/ci.yml"}
+    every, _ = list_tree(spark, roots, None)
+    assert every.count() == len(texts)
+    many = spark.range(300).selectExpr("'p' project", "cast(id as string) path", "case when id = 7 then 900L else 10L end size").repartition(3)
+    dealt = splits(many, 100).rdd.glom().map(lambda part: [r["size"] for r in part]).collect()
+    assert sum(map(len, dealt)) == 300 and all(sum(part) <= 100 + 900 for part in dealt)
+    assert sorted(sum(part) for part in dealt)[-2] <= 110 and splits(many.limit(0)).count() == 0
+
+
 def test_code_sample_equals_the_loop(spark):
     rng = random.Random(7)
     rows, expected = [], set()
