@@ -14,7 +14,7 @@ from habitus.operators import runs as rn
 from habitus.operators import scanning
 from habitus.operators.rules import RULES, Rule, register_rule
 from habitus.session import cut_lineage
-from workload import corpus
+from workload import corpus, governed
 from workload import documents as wd
 from workload import sqltext as s
 from workload.documents import KEY
@@ -66,6 +66,18 @@ def confirm_tools(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def ensure_scope(spark: SparkSession, sf: str) -> DataFrame:
+    filled = gv.ensure_scope(F.col("content"), F.col("layer"), "en")
+    return drafts(spark, sf).select(*KEY, "layer", F.md5(filled).alias("content_md5"))
+
+
+def regroup_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Gap sections wherever they stand, cut out and written as one at the end."""
+    rows = drafts(spark, sf).select(*KEY, "layer", gv.extract_gap_sections(F.col("content")).alias("g"))
+    whole = gv.append_gaps(F.col("g.kept"), F.col("g.gaps"), "en")
+    return rows.select(*KEY, "layer", F.md5(whole).alias("content_md5"))
+
+
 def govern(spark: SparkSession, sf: str) -> DataFrame:
     return gv.govern(drafts(spark, sf), _evidence(spark, sf), "en")
 
@@ -139,6 +151,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         partition_speculative, extract_gap_sections, strip_unsafe_templates, confirm_tools, govern,
+        ensure_scope, regroup_gaps,
         fill_required_sections, type_overview, layer_prompts, complete, completion_calls,
     )
 }
@@ -205,6 +218,9 @@ _ATT = f"""{_ASK}, a AS (SELECT conv_id, role, length(text) AS rc, w, need, n, i
 b AS (SELECT *, w > 0 AND w % 7 <> 0 AS answered, w > 0 AND w % 7 <> 0 AND need <= budget AS ok FROM a)"""
 
 ORACLES = {
+    "ensure_scope": governed.ENSURE_SCOPE,
+    "regroup_gaps": governed.REGROUP_GAPS,
+    "govern": governed.GOVERN,
     "partition_speculative": f"""{_GOV}, {_FENCED} SELECT d.skill, d.project_type, d.layer, md5(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT moves), '')) AS kept_md5,
       coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (moves), '') AS gaps FROM gm JOIN gdocs d USING (doc_id) GROUP BY ALL""",
     "extract_gap_sections": f"""{_GOV}, gl AS (SELECT doc_id, n, t FROM body_lines WHERE regexp_matches(title, '(?i)^(?:缺口|待验证|To Verify|Unverified|⚠️\\s*Gaps|Gaps)$')
