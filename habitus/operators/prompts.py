@@ -77,6 +77,7 @@ TAGS = {
     "zh": "[个人偏好] [项目特定] [必须] [推荐] [可选] [待验证]",
     "en": "[Personal Preference] [Project-Specific] [Must] [Recommended] [Optional] [To Verify]",
 }
+PRIOR_HEAD = "## Layers Already Written\nRefer to them, do not repeat them."
 NO_SAMPLES = "## Layer-Relevant Code Evidence\nNo additional layer-specific source snippets were selected."
 
 
@@ -145,17 +146,47 @@ def update_policy(stale: DataFrame) -> DataFrame:
     )
 
 
+def prior_layers(written: DataFrame) -> DataFrame:
+    """(project, layer, prior): for every layer, the key points of the layers before it.
+
+    ``written`` is (project, layer, content), at most one document a layer.  Key
+    points are a few headings, and a project has eight layers: what is gathered
+    per project is bounded, and no document leaves its row.
+    """
+    points = written.select("project", "layer", docs.key_points(F.col("content")).alias("points"))
+    entries = points.groupBy("project").agg(
+        F.array_sort(F.collect_list(F.struct("layer", "points"))).alias("entries")
+    )
+    layers = F.array(*(F.lit(layer) for layer in LAYERS))
+    before = F.filter("entries", lambda e: e["layer"] < F.col("layer"))
+    lines = F.transform(
+        before,
+        lambda e, i: F.concat(F.lit("Layer "), (i + 1).cast("string"), F.lit(", written:\n"), e["points"]),
+    )
+    return (
+        entries.select("project", "entries", F.explode(layers).alias("layer"))
+        .filter(F.size(before) > 0)
+        .select(
+            "project", "layer",
+            F.concat(F.lit(PRIOR_HEAD), F.lit("\n"), F.array_join(lines, "\n")).alias("prior"),
+        )
+    )
+
+
 def layer_prompts(
     samples: DataFrame,
     evidence_prompts: DataFrame,
     previous: DataFrame | None = None,
     policy: DataFrame | None = None,
     language: str = "zh",
+    written: DataFrame | None = None,
 ) -> DataFrame:
     """(project, layer, prompt) for all eight layers of every project.
 
     ``previous`` is (project, layer, content) of the last learning; a layer sees
-    its own previous document only, cut in the middle.
+    its own previous document only, cut in the middle.  ``written`` is the same of
+    this learning; a layer sees the key points of the layers before it.  ``policy``
+    is (project, policy), see ``update_policy``.
     """
     briefs = F.array(
         *[F.struct(F.lit(l).alias("layer"), F.lit(layer_brief(l, language)).alias("brief")) for l in LAYERS]
@@ -177,6 +208,10 @@ def layer_prompts(
             F.col("existing").isNotNull(),
             F.concat(F.lit("## Existing "), "layer", F.lit("\n```markdown\n"), "existing", F.lit("\n```")),
         )
+    prior: Column = F.lit(None).cast("string")
+    if written is not None:
+        rows = rows.join(prior_layers(written), ["project", "layer"], "left")
+        prior = F.col("prior")
     note: Column = F.lit(None).cast("string")
     if policy is not None:
         rows = rows.join(policy, "project", "left")
@@ -185,7 +220,7 @@ def layer_prompts(
         "project",
         "layer",
         F.concat_ws(
-            "\n\n", "brief", "evidence", note, existing, F.coalesce("samples", F.lit(NO_SAMPLES))
+            "\n\n", "brief", prior, "evidence", note, existing, F.coalesce("samples", F.lit(NO_SAMPLES))
         ).alias("prompt"),
     )
 

@@ -101,6 +101,29 @@ def layer_prompts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _one_document(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """(project, layer, content): of a layer's documents that of the first reference."""
+    return view(spark, sf, name).groupBy("project", "layer").agg(
+        F.min_by("content", F.concat_ws("/", "skill", "project_type")).alias("content")
+    )
+
+
+def update_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    """Prompts of a second learning: earlier documents, what became of their rules, layers written so far."""
+    files = corpus.scanned(spark, sf)
+    samples = sampling.layer_samples(sampling.layer_file_plan(files), files)
+    kinds = corpus.types(spark, sf)
+    asked = ev.evidence_prompt(ev.collect_evidence(files, kinds), kinds)
+    known = view(spark, sf, "v_layer_docs").select(
+        "project", "layer", F.concat_ws(" ", "skill", "project_type", F.lit("rule")).alias("text"),
+        (F.length("content") % 2 == 0).alias("stale"),
+    )
+    return prompts.layer_prompts(
+        samples, asked, _one_document(spark, sf, "v_governed_docs"), prompts.update_policy(known), "en",
+        _one_document(spark, sf, "v_layer_docs"),
+    ).select(*PLANNED, F.length("prompt").cast("bigint").alias("n_chars"), F.md5("prompt").alias("prompt_md5"))
+
+
 def register_rule_query(spark: SparkSession, sf: str) -> DataFrame:
     """The whole rule set with one rule more."""
     rules = register_rule(
@@ -151,7 +174,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         partition_speculative, extract_gap_sections, strip_unsafe_templates, confirm_tools, govern,
-        ensure_scope, regroup_gaps,
+        ensure_scope, regroup_gaps, update_prompts,
         fill_required_sections, type_overview, layer_prompts, complete, completion_calls,
     )
 }
@@ -249,6 +272,25 @@ ORACLES = {
       p AS (SELECT pe.project, br.layer, br.brief || chr(10) || chr(10) || pe.prompt || chr(10) || chr(10) || coalesce(sb.b, {q(prompts.NO_SAMPLES)}) AS x
         FROM pe CROSS JOIN br LEFT JOIN sb ON sb.project = pe.project AND sb.layer = br.layer)
       SELECT project, layer, length(x) AS n_chars, md5(x) AS prompt_md5 FROM p""",
+    "update_prompts": f"""WITH sm AS ({_SAMPLE_SQL}), pe AS ({_PROMPT_EV}), br AS (SELECT * FROM (VALUES {_BRIEFS}) AS t(layer, brief)),
+      sb AS (SELECT project, layer, '## Layer-Relevant Code Evidence' || chr(10) || chr(10) || string_agg('### ' || path || chr(10) || '```' || chr(10) || c || chr(10) || '```', chr(10) || chr(10) ORDER BY position) AS b FROM sm GROUP BY ALL),
+      {duck_with('v_governed_docs', 'v_layer_docs')},
+      old AS (SELECT project, layer, arg_min(content, skill || '/' || project_type) AS c FROM v_governed_docs GROUP BY ALL),
+      cut AS (SELECT project, layer, CASE WHEN length(c) <= 6000 THEN c ELSE left(c, 3600) || {q(sampling.CUT_MARK)} || right(c, 6000 - 3600 - {sampling.CUT_MARK_RESERVE}) END AS c FROM old),
+      new AS (SELECT project, layer, arg_min(content, skill || '/' || project_type) AS c FROM v_layer_docs GROUP BY ALL),
+      pts AS (SELECT project, layer, regexp_extract_all(c, '(?m)^#{{2,3}}[ \t]+.+')[1:8] AS hs, row_number() OVER (PARTITION BY project ORDER BY layer) AS i FROM new),
+      pri AS (SELECT br.layer, pts.project, {q(prompts.PRIOR_HEAD)} || chr(10) || string_agg('Layer ' || i || ', written:' || chr(10) ||
+        CASE WHEN len(hs) = 0 THEN '(no headers)' ELSE array_to_string(hs, chr(10)) END, chr(10) ORDER BY i) AS prior FROM br JOIN pts ON pts.layer < br.layer GROUP BY ALL),
+      rl AS (SELECT project, layer, skill || ' ' || project_type || ' rule' AS text, length(content) % 2 = 0 AS stale FROM v_layer_docs),
+      st AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY layer, text) AS r FROM rl WHERE stale),
+      po AS (SELECT project, '## Update Trace Policy' || chr(10) || '- Rules still supported by files: ' || count(*) FILTER (NOT stale) || chr(10)
+        || '- Rules whose cited files disappeared: ' || count(*) FILTER (stale) AS head FROM rl GROUP BY project),
+      qu AS (SELECT project, string_agg(chr(10) || '- STALE ' || layer || ': ' || text, '' ORDER BY r) AS quoted FROM st WHERE r <= {prompts.STALE_SHOWN} GROUP BY project),
+      p AS (SELECT pe.project, br.layer, concat_ws(chr(10) || chr(10), br.brief, pri.prior, pe.prompt, po.head || coalesce(qu.quoted, ''),
+          '## Existing ' || br.layer || chr(10) || '```markdown' || chr(10) || cut.c || chr(10) || '```', coalesce(sb.b, {q(prompts.NO_SAMPLES)})) AS x
+        FROM pe CROSS JOIN br LEFT JOIN sb ON sb.project = pe.project AND sb.layer = br.layer LEFT JOIN pri ON pri.project = pe.project AND pri.layer = br.layer
+        LEFT JOIN po ON po.project = pe.project LEFT JOIN qu ON qu.project = pe.project LEFT JOIN cut ON cut.project = pe.project AND cut.layer = br.layer)
+      SELECT project, layer, length(x) AS n_chars, md5(x) AS prompt_md5 FROM p""",
     "complete": f"""{_ASK} SELECT conv_id, turn, CASE WHEN w > 0 AND w % 7 <> 0 AND need <= 5096 THEN first ELSE '' END AS response, n AS n_attempts,
       CASE n WHEN 1 THEN 1000 ELSE 5096 END AS last_budget FROM d""",
     "completion_calls": f"""{_ATT} SELECT CAST(conv_id AS VARCHAR) AS run_id, role AS phase, count(*) AS requests, count(*) FILTER (i = 1) AS turns, count(*) FILTER (i > 1) AS retries,
