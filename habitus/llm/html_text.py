@@ -124,7 +124,7 @@ class TreeBuilder(HTMLParser):
             at = self.nearest(frozenset(("table",)), CELLS | {"caption", "template"})
             if at:
                 self.close_to(at)
-        if tag in BLOCK:  # a block ends an open paragraph
+        if tag in BLOCK and tag != "option":  # a block ends an open paragraph
             for at in range(len(self.open) - 1, 0, -1):
                 name = self.open[at].tag
                 if name == "p":
@@ -204,28 +204,34 @@ class Page:
 
     def __init__(self):
         self.lines: list[str] = []
-        self.line = ""
+        self.parts: list[str] = []  # of the open line, none empty: joined once, however many words
         self.gap = 0
         self.space = False
         self.indent = ""
         self.mark = ""
         self.lists = 0
 
+    def put(self, *texts: str) -> None:
+        self.parts += [t for t in texts if t]
+
+    def close_line(self) -> bool:
+        """Ends the open line, if there is one."""
+        if not self.parts:
+            return False
+        self.lines.append("".join(self.parts))
+        self.parts = []
+        return True
+
     def block(self, empty_lines: int = 0) -> None:
-        if self.line:
-            self.lines.append(self.line)
-            self.line = ""
-            self.gap = empty_lines
-        else:
-            self.gap = max(self.gap, empty_lines)
+        self.gap = empty_lines if self.close_line() else max(self.gap, empty_lines)
         self.space = False
 
     def start(self) -> None:
-        if not self.line:
+        if not self.parts:
             if self.lines:
                 self.lines.extend([""] * self.gap)
             self.gap = 0
-            self.line = self.indent + self.mark
+            self.put(self.indent, self.mark)
             if self.mark:
                 self.indent += " " * len(self.mark)
                 self.mark = ""
@@ -236,9 +242,9 @@ class Page:
             if k:
                 self.space = True
             if part:
-                fresh = not self.line
+                fresh = not self.parts
                 self.start()
-                self.line += (" " if self.space and not fresh else "") + part
+                self.put(" " if self.space and not fresh else "", part)
                 self.space = False
 
     def preformatted(self, data: str) -> None:
@@ -247,13 +253,10 @@ class Page:
                 self.newline()
             if part:
                 self.start()
-                self.line += part
+                self.put(part)
 
     def newline(self) -> None:
-        if self.line:
-            self.lines.append(self.line)
-            self.line = ""
-        else:
+        if not self.close_line():
             self.gap = min(self.gap + 1, 2) if self.lines else 0
         self.space = False
 
@@ -272,9 +275,18 @@ def rows_of(table: Node) -> Iterator[Node]:
                 yield from rows_of(child)
 
 
-def span(cell: Node) -> int:
-    value = cell.attrs.get("colspan") or "1"
-    return min(max(int(value), 1), 50) if value.isdecimal() else 1
+def span(cell: Node, name: str = "colspan", most: int = 50) -> int:
+    """A cell's number of columns or rows; 0 rows reach to the table's end."""
+    value = cell.attrs.get(name) or "1"
+    if not (value.isascii() and value.isdecimal()):
+        return 1
+    value = value.lstrip("0")
+    if not value:
+        return most if name == "rowspan" else 1
+    return most if len(value) > 9 else min(int(value), most)
+
+
+MOST_ROWS = 65534
 
 
 def render_table(table: Node, page: Page, depth: int) -> None:
@@ -285,13 +297,22 @@ def render_table(table: Node, page: Page, depth: int) -> None:
             render(child, page, depth + 1)
             page.block()
     grid = []
+    held: dict[int, int] = {}  # rows that a cell above still takes of a column
     for row in rows_of(table):
-        cells = []
+        cells, at, longer = [], 0, {}
         for cell in row.children:
             if isinstance(cell, Node) and cell.tag in CELLS and visible(cell):
+                while at in held:
+                    cells.append(([""], 1))
+                    at += 1
                 inner = Page()
                 render(cell, inner, depth + 1)
-                cells.append((inner.finish().split("\n"), span(cell)))
+                columns, rows = span(cell), span(cell, "rowspan", MOST_ROWS)
+                cells.append((inner.finish().split("\n"), columns))
+                if rows > 1:
+                    longer.update(dict.fromkeys(range(at, at + columns), rows))
+                at += columns
+        held = {c: n - 1 for c, n in {**held, **longer}.items() if n > 1}
         grid.append(cells)
     widths: dict[int, int] = {}
     for cells in grid:
@@ -311,7 +332,7 @@ def render_table(table: Node, page: Page, depth: int) -> None:
                 at += columns
             if out.strip():
                 page.start()
-                page.line += out.rstrip()
+                page.put(out.rstrip())
                 page.block()
     page.block(1)
 
@@ -358,7 +379,7 @@ def render(node: Node, page: Page, depth: int = 0, preserved: bool = False) -> N
             page.indent, page.mark = before, ""
         else:
             render(child, page, depth + 1, preserved)
-    page.indent, page.mark = kept_indent, kept_mark if kept_mark and not page.line and page.mark else ""
+    page.indent, page.mark = kept_indent, kept_mark if kept_mark and not page.parts and page.mark else ""
     page.lists -= tag in LISTS
     if tag in BLOCK:
         page.block(empty)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -252,3 +253,16 @@ def test_known_pieces_are_bounded(monkeypatch):
     lengths = Lengths(load(tokenizer_path()), 50)
     assert [lengths.of([t])[0] for t in ("a b c d e f", "g h i j", "a b")] == [6, 4, 2]
     assert len(lengths.rest) <= 4 and pieces("a b  c d") == ["a", "b  c", "d"]
+
+
+def test_html_of_hostile_spans_and_long_lines():
+    assert rendered('<table><td colspan="' + "9" * 5000 + '">A<td>B</table>').split() == ["A", "B"]
+    assert rendered('<table><td colspan="²">A<td rowspan="x">B</table>') == "A  B"
+    assert rendered("<table><tr><td rowspan=2>A<td>B<tr><td>C<tr><td>D</table>") == "A  B\n   C\nD"
+    assert rendered("<table><tr><td>A<td rowspan=0>B<td>C<tr><td>D<td>E<tr><td>F<td>G</table>") == "A  B  C\nD     E\nF     G"
+    assert rendered("<table><tr><td rowspan=2 colspan=2>A<td>B<tr><td>C</table>").split("\n")[1].strip() == "C"
+    assert rendered("<p>Pick <select><option>one<option selected>two</select> now") == "Pick now"
+    words = "word " * 300_000
+    began = time.perf_counter()
+    assert rendered(f"<span>{words}</span>" + "<b>x</b> " * 20_000) == words + "x " * 19_999 + "x"
+    assert time.perf_counter() - began < 10
