@@ -84,6 +84,6 @@ def test_stages_stand_odd_rows(spark):
 
 def test_every_operator_has_one_query():
     numbers = sorted(int(name[2:].split("_")[0]) for name in QUERIES)
-    assert numbers == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
+    assert numbers == list(range(1, 14)) and set(ORACLES) <= set(QUERIES)
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
     assert [name for name, _ in cp.STAGES] == ["toxicity", "ngram_jaccard", "decontamination", "secret_scans", "mixing"]
