@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from habitus.session import broadcast_if_small
+
 # Sidecar names and their fields, as they are written.
 EVIDENCE_JSON = (
     "projectType string, languages array<string>, fileCount bigint, totalSize bigint,"
@@ -67,18 +69,25 @@ def _whole_files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
 
 
 def read_layer_docs(spark: SparkSession, root: str) -> DataFrame:
-    """(skill, project_type, layer, file_stem, content): the first file of each layer."""
+    """(skill, project_type, layer, file_stem, content): the first file of each layer.
+
+    Names are ranked by themselves; a reading of names alone opens no file.  The
+    few that come second in their layer are then left out of the contents.  An
+    empty file holds no document: file scans pass over it.
+    """
     path = F.col("_metadata.file_path")
     stem = _decoded(F.regexp_extract(path, r"([^/]+)\.md\z", 1))
     files = _whole_files(spark, root, "L[1-8]-*.md").select(
         *_place(path), F.left(stem, F.lit(2)).alias("layer"), stem.alias("file_stem"),
         F.col("value").alias("content"),
     )
-    # a handful of files per layer folder; the window sees names before contents grow
     first = Window.partitionBy("skill", "project_type", "layer").orderBy("file_stem")
-    return (
-        files.withColumn("__n", F.row_number().over(first)).filter(F.col("__n") == 1).drop("__n")
+    place = ["skill", "project_type", "file_stem"]
+    later = (
+        files.select(*place, "layer").withColumn("__n", F.row_number().over(first))
+        .filter(F.col("__n") > 1).select(*place)
     )
+    return files.join(broadcast_if_small(later) or later, place, "left_anti").select(*files.columns)
 
 
 def joined_layers(layer_docs: DataFrame) -> DataFrame:

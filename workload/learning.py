@@ -176,8 +176,8 @@ def stream_run_metrics(spark: SparkSession, sf: str) -> DataFrame:
         "event_type <> 'error' AS ok", "CAST(get_json_object(props, '$.k') AS BIGINT) AS k",
     ).selectExpr("*", USAGE)
     folder = f"{shared_folder(spark)}/stream-{os.urandom(8).hex()}"
-    st.run_available(st.stream_run_metrics(shaped), f"{folder}/result", f"{folder}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{folder}/result")
+    st.run_increments(shaped, f"{folder}/result", f"{folder}/checkpoint").awaitTermination()
+    return st.read_increments(spark, f"{folder}/result")
 
 
 QUERIES = {

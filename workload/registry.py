@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("corpus", "documents", "overview", "learning", "drafts")
+MODULES = ("corpus", "documents", "overview", "learning", "drafts", "kept")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
