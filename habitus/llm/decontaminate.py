@@ -158,13 +158,23 @@ def contaminated(
     # Equal texts are compared once.
     texts = hits.select("key", "place", "shingle", "weight", "opens").distinct()
     in_order = Window.partitionBy("key").orderBy("place")
-    ahead = in_order.rangeBetween(0, longest - 1)
-    runs = texts.select(
+    starts = texts.select(
         "key",
         F.col("place").alias("start"),
         (F.col("opens") | (F.col("place") - F.coalesce(F.lag("place").over(in_order), F.lit(-2)) > 1)).alias("begins"),
-        F.collect_list(F.struct("place", "shingle", "weight")).over(ahead).alias("ahead"),
-    ).filter("begins")
+    ).filter("begins").drop("begins").distinct()
+    # A window reaches into its start's stretch of places and the next one.
+    stretch = F.floor(F.col("start") / longest)
+    reached = starts.withColumn("stretch", F.explode(F.array(stretch, stretch + 1)))
+    near = texts.select(
+        "key", F.floor(F.col("place") / longest).alias("stretch"), F.struct("place", "shingle", "weight").alias("h")
+    )
+    runs = (
+        reached.join(near, ["key", "stretch"])
+        .filter((F.col("h.place") >= F.col("start")) & (F.col("h.place") < F.col("start") + longest))
+        .groupBy("key", "start")
+        .agg(F.array_sort(F.collect_list("h")).alias("ahead"))
+    )
     sized = runs.select(
         "key", "start", "ahead", F.explode(F.array(*(F.lit(n) for n in bench.sizes or [0]))).alias("size")
     ).withColumn("found", F.filter("ahead", lambda h: h["place"] < F.col("start") + F.col("size")))

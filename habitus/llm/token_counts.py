@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BATCH_BYTES = 1 << 20
-KEPT_PIECES = 500_000
+#: About how many bytes of pieces a worker keeps, what a piece costs besides its
+#: characters, and the longest piece that is kept beyond its batch.
+KEPT_BYTES, ENTRY_BYTES, LONGEST_KEPT = 96 << 20, 128, 64
 
 #: A single space between two non-space characters.  Pre-tokenizers that keep
 #: white space in front of a word start a new piece there, whatever stands
@@ -54,13 +56,16 @@ class Lengths:
     """Token counts of pieces; each distinct piece is encoded once while it is kept.
 
     ``heads`` are pieces at the start of a text, ``rest`` pieces after a cut,
-    which carry its space.  Both are emptied when they hold ``KEPT_PIECES``.
+    which carry its space.  Both are emptied when they hold about ``KEPT_BYTES``;
+    pieces over ``LONGEST_KEPT`` characters, as texts without spaces give, are
+    forgotten with their batch.
     """
 
     def __init__(self, encode, batch_bytes: int):
         self.encode, self.batch_bytes = encode, batch_bytes
         self.heads: dict[str, int] = {}
         self.rest: dict[str, int] = {}
+        self.held = 0
 
     def learn(self, known: dict[str, int], wanted: set[str], prefix: str) -> None:
         """Encode the missing pieces in batches of about equal bytes."""
@@ -80,19 +85,34 @@ class Lengths:
         if batch:
             flush()
 
+    def forget(self, known: dict[str, int], used: set[str]) -> None:
+        """Drop the long pieces of a batch."""
+        for piece in used:
+            if len(piece) > LONGEST_KEPT:
+                del known[piece]
+
     def of(self, texts: list[str]) -> list[int]:
         cut = [pieces(text) for text in texts]
-        for known in (self.heads, self.rest):
-            if len(known) > KEPT_PIECES:
-                known.clear()
-        self.learn(self.heads, {parts[0] for parts in cut}, "")
+        first = {parts[0] for parts in cut}
         rest = [parts[1:] for parts in cut]
-        self.learn(self.rest, set().union(*rest), " ")
+        later = set().union(*rest)
+        before = len(self.heads) + len(self.rest)
+        self.learn(self.heads, first, "")
+        self.learn(self.rest, later, " ")
         after = self.rest.__getitem__
-        return [
+        counts = [
             self.heads[parts[0]] + sum(map(after, tail))
             for parts, tail in zip(cut, rest, strict=True)
         ]
+        self.forget(self.heads, first)
+        self.forget(self.rest, later)
+        # a kept piece has at most LONGEST_KEPT characters of up to four bytes
+        self.held += (len(self.heads) + len(self.rest) - before) * (ENTRY_BYTES + 4 * LONGEST_KEPT)
+        if self.held > KEPT_BYTES:
+            self.heads.clear()
+            self.rest.clear()
+            self.held = 0
+        return counts
 
 
 def token_counts(
@@ -106,8 +126,8 @@ def token_counts(
     """(id, n_bytes, n_tokens, over_limit) for every row.
 
     Texts are cut at safe places and each distinct piece is encoded once while a
-    worker keeps it, so cost follows distinct pieces and a very long text is never
-    encoded as one; batches hold about ``batch_bytes`` each.  Sentencepiece
+    worker keeps it, so cost follows distinct pieces and a very long text with spaces
+    is never encoded as one; one without a safe place is.  Batches hold about ``batch_bytes`` each.  Sentencepiece
     texts are not cut (its models may merge across spaces).  Null texts count as
     empty, empty texts have no tokens, repeated rows are counted each, a null id
     stays null, other columns are not carried.

@@ -249,10 +249,15 @@ def test_other_tokenizer_files(spark):
 def test_known_pieces_are_bounded(monkeypatch):
     from habitus.llm import token_counts as tc
 
-    monkeypatch.setattr(tc, "KEPT_PIECES", 3)
+    monkeypatch.setattr(tc, "KEPT_BYTES", 3 * (tc.ENTRY_BYTES + 4 * tc.LONGEST_KEPT))
     lengths = Lengths(load(tokenizer_path()), 50)
     assert [lengths.of([t])[0] for t in ("a b c d e f", "g h i j", "a b")] == [6, 4, 2]
     assert len(lengths.rest) <= 4 and pieces("a b  c d") == ["a", "b  c", "d"]
+    # texts without spaces are forgotten with their batch
+    chinese = ["".join(chr(0x4E00 + (7 * k + j) % 900) for j in range(500)) for k in range(40)]
+    before = len(lengths.heads)
+    assert lengths.of(chinese) == load(tokenizer_path())(chinese)
+    assert not any(len(piece) > tc.LONGEST_KEPT for piece in lengths.heads) and len(lengths.heads) <= before
 
 
 def test_html_of_hostile_spans_and_long_lines():

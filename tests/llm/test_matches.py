@@ -187,6 +187,16 @@ def test_leaks_equal_all_windows(spark):
     assert dc.contaminated(docs(spark, rows), table.limit(0), written).count() == 0
 
 
+def test_leaks_of_very_long_items(spark):
+    rng = random.Random(9)
+    long, short = invented(rng, 3000), invented(rng, 15)
+    changed = long[:1500] + ["other"] + long[1501:]
+    items = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(short))], "item_id long, text string")
+    rows = [(1, " ".join(invented(rng, 50) + changed + short), "s"), (2, " ".join(long[:2000]), "s"), (3, " ".join(short), "s")]
+    got = {(r.doc_id, r.item_id): (r.start_word, r.n_words) for r in dc.contaminated(docs(spark, rows), items, written).collect()}
+    assert got == {(1, 1): (50, 3000), (1, 2): (3050, 15), (3, 2): (0, 15)}
+
+
 def test_leaks_of_odd_rows(spark):
     items = spark.createDataFrame([(1, "same words every time same words every"), (1, "same words every time same words every")], "item_id long, text string")
     got = dc.contaminated(docs(spark, ODD, extra=True), items, written).collect()
