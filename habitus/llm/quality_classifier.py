@@ -209,12 +209,31 @@ def boost(x: np.ndarray, y: np.ndarray) -> AdditiveModel:
     return model
 
 
+def sampled(learned: DataFrame, sample_rows: int) -> DataFrame:
+    """The ``sample_rows`` rows of ``learned`` (id, label) whose ids hash lowest.
+
+    Ids above the matching quantile of the hash, with six deviations of room, are
+    left out before anything is sorted, so no task hands on more than its share.
+    """
+    total = learned.count()
+    place = F.xxhash64("id")
+    if total > sample_rows:
+        share = min(1.0, (sample_rows + 6 * sample_rows**0.5 + 6) / total)
+        learned = learned.filter(place <= min(int(-(2**63) + share * 2**64), 2**63 - 1))
+    return learned.orderBy(place, "id").limit(sample_rows)
+
+
 def fit(features: DataFrame, learned: DataFrame, sample_rows: int = SAMPLE_ROWS) -> AdditiveModel:
-    """The model from (id, features) and (id, label): at most ``sample_rows`` rows."""
+    """The model from (id, features) and (id, label): at most ``sample_rows`` ids.
+
+    An id with several rows of features counts once, with the smallest.
+    """
+    chosen = F.broadcast(sampled(learned, sample_rows))
     rows = (
-        features.join(learned, "id")
-        .orderBy(F.xxhash64("id"), "id", "label")
-        .limit(sample_rows)
+        features.join(chosen, "id")
+        .groupBy("id", "label")
+        .agg(F.min("features").alias("features"))
+        .orderBy(F.xxhash64("id"), "id")
         .select("features", "label")
         .toArrow()
     )
@@ -236,7 +255,8 @@ def quality_scores(
 
     ``learn`` tells over ``labels`` which rows may be learned from; ``keep``
     writes a table that is read twice.  An id labelled twice counts once, with
-    the larger label; null labels and ids are not learned from.  Null and empty
+    the larger label; null labels and ids are not learned from; of an id with
+    several rows the smallest features are learned from.  Null and empty
     texts have all features 0 and are scored like any other; repeated rows are
     scored each; other columns are not read.
     """

@@ -1,9 +1,10 @@
 """Secret scans with built-in functions only.
 
-Three fixed kinds are found by pattern.  Beside them every long token that mixes
-letters and digits is a candidate for the randomness battery:
+Three fixed kinds are found by pattern.  Beside them every long token, whatever
+its characters, is a candidate for the randomness battery:
 
-* its encoding is inferred (hex, base32, base64) and its characters are counted;
+* its encoding is inferred (decimal, hex, base32, lower-case letters, base64) and
+  its characters are counted;
 * it must look random: chi-squared uniformity over the alphabet, the number of
   runs above and below the middle of the alphabet, and serial correlation, none
   significant at ``LEAST_P``;
@@ -32,16 +33,16 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN_LEAST = 6
 
 _TOKEN = "A-Za-z0-9+/_=-"
-#: Maximal runs of 20 or more characters with a letter and a digit.
-TOKEN = (
-    rf"(?<![{_TOKEN}])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[{_TOKEN}]{{20,}}"
-)
+#: Maximal runs of 20 or more characters, two of them other than the padding ``=``.
+TOKEN = rf"(?<![{_TOKEN}])(?==*[A-Za-z0-9+/_-]=*[A-Za-z0-9+/_-])[{_TOKEN}]{{20,}}"
 
 #: Encodings: alphabet, and how often two characters of an ordinary token of that
-#: look (numbers, dates, identifiers) are equal.
+#: look (numbers, dates, identifiers, words) are equal.
 ENCODINGS = {
+    "decimal": ("0123456789", 0.20),
     "hex": ("0123456789abcdef", 0.15),
     "base32": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 0.10),
+    "lower": ("abcdefghijklmnopqrstuvwxyz", 0.065),
     "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 0.065),
 }
 BANDS = (24, 32, 48, 64)
@@ -169,8 +170,10 @@ def battery(token: Column) -> Column:
 
     stripped = F.regexp_replace(token, "=+$", "")
     kind = (
-        F.when(stripped.rlike(r"^(?:[0-9a-f]+|[0-9A-F]+)$"), F.lit("hex"))
+        F.when(stripped.rlike(r"^[0-9]+$"), F.lit("decimal"))
+        .when(stripped.rlike(r"^(?:[0-9a-f]+|[0-9A-F]+)$"), F.lit("hex"))
         .when(stripped.rlike(r"^[A-Z2-7]+$"), F.lit("base32"))
+        .when(stripped.rlike(r"^[a-z]+$"), F.lit("lower"))
         .otherwise(F.lit("base64"))
     )
     shaped = let(

@@ -294,6 +294,21 @@ def test_battery_tells_keys_from_names(spark):
     assert not any(got[k] for k in range(len(keys), len(rows)))
 
 
+def test_candidates_need_neither_letters_nor_digits(spark):
+    rng = random.Random(21)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    keys = ["".join(rng.choice(letters) for _ in range(48)) for _ in range(20)]
+    keys += ["".join(rng.choice("0123456789") for _ in range(22)) for _ in range(20)]  # 24 would be hex
+    names = [
+        "counterrevolutionaries", "internationalization-of-applications", "getApplicationContextFromServletRequest",
+        "11111111112222222222", "00000000000000000000", "=" * 40, "-" * 40, "a" + "=" * 30, "=" * 30 + "a" + "=" * 9, "/=" * 20,
+    ]
+    rows = [(k, f"see {t} there", "s") for k, t in enumerate(keys + names)]
+    got = {r.doc_id: "random:4:" in r.spans for r in sec.secret_scan(docs(spark, rows), written).collect()}
+    assert sum(got[k] for k in range(20)) >= 16 and sum(got[k] for k in range(20, 40)) >= 10
+    assert not any(got[k] for k in range(40, len(rows)))
+
+
 def test_battery_statistics_by_hand(spark):
     token = "Ab3dEf9hIjK1mNoP5rStU7wXyZ"
     got = spark.range(1).select(sec.battery(F.lit(token)).alias("t")).first().t

@@ -105,6 +105,14 @@ def test_every_expression_is_counted_by_itself(spark):
     assert len(got) == 7 and all(got[k] == pytest.approx(want[k]) for k in want) and want[6] > 0 == want[2]
 
 
+def test_sample_holds_the_lowest_hashes(spark):
+    learned = spark.range(5000).select("id", (F.col("id") % 2).cast("int").alias("label"))
+    want = [r.id for r in learned.orderBy(F.xxhash64("id"), "id").limit(700).collect()]
+    assert [r.id for r in qc.sampled(learned, 700).collect()] == want
+    assert qc.sampled(learned, 5000).count() == qc.sampled(learned, 9000).count() == 5000
+    assert qc.sampled(learned.limit(0), 10).count() == 0
+
+
 def test_shallow_trees_and_pairs_learn_what_they_should():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(4000, len(qc.FEATURES))).astype(np.float32)
