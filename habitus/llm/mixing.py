@@ -2,14 +2,14 @@
 
 1. Each source's words, document after document in a pseudorandom order, are
    packed into blocks of a fixed number of words.
-2. The mix is a row of output shards of ``shard_blocks`` slots.  Every shard
-   draws how many of its slots each source gets: the whole part of the expected
-   number, and a multinomial draw for the slots that are left.
+2. The mix is a row of output shards of about ``shard_blocks`` slots.  Each source
+   has a fixed number of slots; how many of them a shard holds is a multinomial
+   draw given that number, so small sources meet their targets too.
 3. A source's slots are numbered through all shards; pass ``n`` over the source
    maps slot numbers to block numbers by a pseudorandom permutation of its own.
 4. Blocks are joined by source and number.
 
-No source is read more than ``PASSES`` times: slots drawn beyond that stay empty.
+No source has slots for more than ``PASSES`` passes.
 """
 
 from __future__ import annotations
@@ -107,34 +107,49 @@ def permuted(number: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarra
     return value.astype(np.int64)
 
 
-def shard_counts(shard: int, slots: int, chance: np.ndarray, seed: int) -> np.ndarray:
-    """Slots of each source in one shard; a retried task draws the same."""
-    expected = slots * chance
-    sure = np.floor(expected).astype(np.int64)
-    rest = expected - sure
-    left = slots - int(sure.sum())
-    if left > 0:
-        total = rest.sum()
-        odds = rest / total if total > 1e-12 else chance
-        sure += np.random.default_rng([seed, shard]).multinomial(left, odds / odds.sum())
-    return sure
+def slot_totals(plan: Recipe) -> np.ndarray:
+    """Slots of each source in the whole mix, never more than ``PASSES`` over its blocks."""
+    per_block = plan.sizes / np.maximum(plan.blocks, 1)
+    wanted = np.where(plan.sizes > 0, plan.targets / np.maximum(per_block, 1e-9), 0)
+    return np.minimum(np.rint(wanted).astype(np.int64), PASSES * plan.blocks)
+
+
+def shard_draws(
+    totals: np.ndarray, shards: int, begin: int, end: int, seed: int
+) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, sources, slots) for the shards from ``begin`` to ``end``.
+
+    Every source's total is split multinomially over all shards: each half of a
+    run of shards draws its part from a generator named by the run, so any task
+    draws the same counts for a shard, and the counts of all shards add up.
+    """
+    runs = [(0, shards, np.flatnonzero(totals), totals[totals > 0])]
+    while runs:
+        low, high, sources, slots = runs.pop()
+        if high <= begin or low >= end or not len(sources):
+            continue
+        if high - low == 1:
+            yield low, sources, slots
+            continue
+        middle = (low + high) // 2
+        left = np.random.default_rng([seed, low, high]).binomial(slots, (middle - low) / (high - low))
+        right = slots - left
+        runs.append((middle, high, sources[right > 0], right[right > 0]))
+        runs.append((low, middle, sources[left > 0], left[left > 0]))
 
 
 def drawn_slots(spark, plan: Recipe, seed: int, shard_blocks: int) -> DataFrame:
     """(source_no, shard, n): every shard's multinomial source counts."""
-    per_block = plan.sizes / np.maximum(plan.blocks, 1)
-    wanted = np.where(plan.sizes > 0, plan.targets / np.maximum(per_block, 1e-9), 0)
-    slots = int(round(wanted.sum()))
-    chance = wanted / max(wanted.sum(), 1e-9)
-    shards = -(-slots // shard_blocks)
+    totals = slot_totals(plan)
+    shards = -(-int(totals.sum()) // shard_blocks)
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for shard in batch["id"]:
-                size = min(shard_blocks, slots - shard * shard_blocks)
-                n = shard_counts(int(shard), size, chance, seed)
-                used = np.flatnonzero(n)
-                yield pd.DataFrame({"source_no": used, "shard": shard, "n": n[used]})
+            if not len(batch):
+                continue
+            first, last = int(batch["id"].min()), int(batch["id"].max())
+            for shard, sources, n in shard_draws(totals, shards, first, last + 1, seed):
+                yield pd.DataFrame({"source_no": sources, "shard": shard, "n": n})
 
     tasks = max(1, min(shards, 4 * spark.sparkContext.defaultParallelism))
     return spark.range(0, shards, 1, tasks).mapInPandas(draw, "source_no int, shard long, n long")
@@ -162,7 +177,7 @@ def mixed_blocks(spark, plan: Recipe, seed: int = 0, shard_blocks: int = SHARD_B
         "source_no", "shard", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("slot")
     )
     placed = slots.withColumn("at", place("source_no", "slot"))
-    return placed.select("source_no", "shard", "slot", "at.pass", "at.block").filter(F.col("pass") < PASSES)
+    return placed.select("source_no", "shard", "slot", "at.pass", "at.block")
 
 
 def word_count(text: Column) -> Column:
@@ -170,13 +185,17 @@ def word_count(text: Column) -> Column:
 
 
 def packed(sized: DataFrame, plan: Recipe) -> DataFrame:
-    """(row, id, source_no, size, first): where each document's words lie in its source."""
+    """(row, id, source_no, size, first): where each document's words lie in its source.
+
+    Documents go by id, then by a hash of the text; rows equal in both are the
+    same to the mix.
+    """
     numbers = sized.sparkSession.createDataFrame(
         [(s, k) for k, s in enumerate(plan.sources)], "name string, source_no int"
     )
     known = sized.join(F.broadcast(numbers), F.col("source").eqNullSafe(F.col("name"))).drop("name")
-    part = F.pmod(F.xxhash64("id"), F.lit(SLICES))
-    return running_offsets(known, "source_no", part, ["id", "row"], "size", "first")
+    part = F.pmod(F.xxhash64("id", "digest"), F.lit(SLICES))
+    return running_offsets(known, "source_no", part, ["id", "digest", "row"], "size", "first")
 
 
 def mix(
@@ -203,6 +222,7 @@ def mix(
             F.monotonically_increasing_id().alias("row"),
             F.col(id_col).alias("id"),
             F.col(source_col).cast("string").alias("source"),
+            F.xxhash64(F.col(text_col).cast("string")).alias("digest"),
             word_count(F.col(text_col).cast("string")).alias("size"),
         )
     )

@@ -44,12 +44,29 @@ def test_permutations_are_permutations():
         assert size < 10 or (one != two).any()
 
 
-def test_shards_draw_their_slots_again_alike():
-    chance = np.array([0.5, 0.3, 0.2])
-    draws = [mixing.shard_counts(k, 101, chance, 9) for k in range(200)]
-    assert all(d.sum() == 101 for d in draws)
-    assert (mixing.shard_counts(3, 101, chance, 9) == draws[3]).all()
-    assert np.abs(np.mean(draws, axis=0) - 101 * chance).max() < 0.3
+def test_shards_split_fixed_totals_alike_in_any_task():
+    totals = np.array([50_000, 30_000, 48, 0, 20_000])
+    shards = 4000
+
+    def draws(begin, end):
+        return {k: dict(zip(who.tolist(), n.tolist(), strict=True)) for k, who, n in mixing.shard_draws(totals, shards, begin, end, 9)}
+
+    whole = draws(0, shards)
+    sums = Counter()
+    for counts in whole.values():
+        sums.update(counts)
+    assert [sums[k] for k in range(5)] == totals.tolist()
+    assert {**draws(0, 17), **draws(17, 2500), **draws(2500, shards)} == whole
+    first = np.array([whole.get(k, {}).get(0, 0) for k in range(shards)])
+    assert abs(first.var() / first.mean() - 1) < 0.1  # as a multinomial's over many shards
+
+
+def test_small_sources_meet_their_targets():
+    sizes = np.array([64_000_000] + [640 * (k + 1) for k in range(50)])
+    plan = mixing.Recipe([f"s{k:02d}" for k in range(51)], sizes, mixing.targets(sizes))
+    got = mixing.slot_totals(plan) * mixing.BLOCK_WORDS
+    assert (np.abs(got - plan.targets) <= mixing.BLOCK_WORDS).all()
+    assert (mixing.slot_totals(plan) <= 2 * plan.blocks).all()
 
 
 def mixed_table(spark):
