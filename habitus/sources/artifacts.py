@@ -102,7 +102,10 @@ def joined_layers(layer_docs: DataFrame) -> DataFrame:
 
 def read_sidecar(spark: SparkSession, root: str, name: str) -> DataFrame:
     """(skill, project_type, r): one parsed sidecar per folder, broken ones null."""
-    text = _whole_files(spark, root, name)
+    return _parsed(_whole_files(spark, root, name), name)
+
+
+def _parsed(text: DataFrame, name: str) -> DataFrame:
     valid = F.try_parse_json("value").isNotNull()
     return text.select(
         *_place(F.col("_metadata.file_path")),
@@ -111,12 +114,16 @@ def read_sidecar(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def read_artifacts(spark: SparkSession, root: str) -> DataFrame:
-    """One row per reference folder with its four sidecars, null where absent."""
-    folders = _whole_files(spark, root, "*.{md,json}").select(
+    """One row per reference folder with its four sidecars, null where absent.
+
+    The tree is listed once; a name picks its files from that listing before any is opened.
+    """
+    files = _whole_files(spark, root, "*.{md,json}")
+    folders = files.select(
         *_place(F.col("_metadata.file_path"))
     ).filter(F.col("skill") != "").distinct()
     for name in SIDECARS:
-        side = read_sidecar(spark, root, name)
+        side = _parsed(files.filter(F.col("_metadata.file_name") == name), name)
         column = name.removesuffix(".json").lower()
         folders = folders.join(
             side.withColumnRenamed("r", column), ["skill", "project_type"], "left"
