@@ -8,17 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from habitus import session
-
-
-#: Bytes of rows that go to a Python worker at once, whatever the texts' lengths.
-BATCH_BYTES = 4 << 20
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Batches for Python of a few megabytes, unless the cluster's settings name a size."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not spark.sparkContext.getConf().contains(name):
-        spark.conf.set(name, BATCH_BYTES)
+from habitus.session import bounded_batches
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 A file is written under a hidden name and moved to its own, so a reader never
 sees half a file, and a task that is repeated after a lost executor leaves the
-same files.  Rows are shuffled by folder; a task holds one Arrow batch.
+same files.  Rows are shuffled by folder; a task holds one Arrow batch of a few
+megabytes, and of its texts one at a time.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from habitus.operators.trace import KEY
+from habitus.session import bounded_batches
 from habitus.sources.artifacts import EVIDENCE_JSON, TRACE_JSON
 from habitus.sources.logs import WRITTEN_NAMES
 
@@ -40,17 +42,20 @@ def write_files(files: DataFrame, root: str) -> int:
         attempt = TaskContext.get().taskAttemptId()
         made: set[str] = set()
         for batch in batches:
-            for folder, name, text in zip(*(column.to_pylist() for column in batch.columns)):
+            for row in range(batch.num_rows):
+                folder, name, text = (column[row] for column in batch.columns)
+                folder, name = folder.as_py(), name.as_py()
                 place = f"{base}/{folder}"
                 if place not in made:
                     store.create_dir(place, recursive=True)
                     made.add(place)
                 hidden = f"{place}/.{name}.{attempt}"
                 with store.open_output_stream(hidden) as out:
-                    out.write(text.encode())
+                    out.write(text.as_buffer())
                 store.move(hidden, f"{place}/{name}")
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["files"])
 
+    bounded_batches(files.sparkSession)
     single = files.groupBy("folder", "name").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"))
     return single.mapInArrow(write, "files long").agg(F.coalesce(F.sum("files"), F.lit(0))).first()[0]
 
