@@ -11,6 +11,7 @@ from habitus.operators import trace as tr
 from habitus.operators import verify as vf
 from habitus.session import BATCH_BYTES
 from habitus.sources import artifacts, folders
+from workload import views
 
 # words, their other case, look-alikes beyond ASCII, spaces of all kinds
 TEXTS = [
@@ -143,3 +144,32 @@ def test_cross_type_texts_take_what_was_surfaced(spark, monkeypatch):
     surfaced = ov.Surfaced(stated, None, None, None, short.withColumn("text", F.lit("hard")), short.withColumn("text", F.lit("anti")), None)
     got = sorted((r.kind, r.text) for r in wo._texts(spark, "", surfaced).collect())
     assert got == [("anti", "anti"), ("hard", "hard"), ("type", "store modules")]
+
+
+def test_large_inputs_in_one_row_group_are_spread(spark, tmp_path):
+    """One row group is one scan task: above the size limit it was read by that task alone."""
+    cores = spark.sparkContext.defaultParallelism
+    one, many = str(tmp_path / "one"), str(tmp_path / "many")
+    spark.range(4000).coalesce(1).write.parquet(one)
+    spark.range(4000).repartition(4 * cores).write.parquet(many)
+    read, even = spark.read.parquet(one), spark.read.parquet(many)
+    cut = views.spread(read, [read], small=0)
+    assert views.scan_tasks([read]) == (4000, 4000)
+    assert cut.rdd.getNumPartitions() >= cores and views.scan_tasks([cut])[0] <= 2 * 4000 // cores
+    assert sorted(r.id for r in cut.collect()) == list(range(4000))
+    small_tasks = views.spread(read, [read], small=0, task_bytes=1 << 10)
+    assert small_tasks.rdd.getNumPartitions() > cores
+    kept = views.spread(even, [even], small=0)
+    assert "Repartition" not in kept._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_plain_texts_skip_the_patterns(spark):
+    """Cleaning runs on texts that hold a mark; others are only trimmed, with equal results."""
+    ran = F.lit("ran")
+    texts = {" plain text é ": "plain text é", "a  b": "ran", "a\tb": "ran", "a：b": "ran", "x [y]": "ran", "- a": "ran", " a": "ran"}
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r.t: r.x for r in rows.select("t", rx.unless_plain(F.col("t"), tr.MARKS, lambda t: ran, tr.FIRST_MARKS).alias("x")).collect()}
+    assert got == texts
+    cleaned = {"a [必须]  b": "a b", "[必须][推荐] a": "a", " a　 b ": "a b", "a * Evidence: x.ts * b": "a b", "**a** b": "a b"}
+    rows = spark.createDataFrame([(t,) for t in cleaned], "t string")
+    assert {r.t: r.x for r in rows.select("t", tr.clean_body(F.col("t")).alias("x")).collect()} == cleaned
