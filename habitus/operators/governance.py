@@ -8,6 +8,8 @@ template occurs in the evidence - is a join with one short list per reference.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from habitus.operators.prompts import LAYER_META, LAYER_SPECS
 from habitus.operators.trace import KEY
 
 _S = f"[{rx.INLINE_SPACE_CLASS}]"
+_INLINE_SPACES = rx.SPACE_CHARS.replace("\n", "")
 # Wording tests.
 META_LINE = (
     r"完整延续|延续部分|续写|继续添加|直接从断点|断点处继续|只输出剩余|勿重复已有内容|未重复标题|紧接之前"
@@ -91,35 +94,60 @@ DOWNGRADED = ("模板「", "」包含建议性或未验证内容，已降级为\
 UNCONFIRMED = ("模板「", "」引用了未确认工具 ", "，已降级为\"无现有模式\"。")
 
 
+def _in_any_case(line: Column, test: Callable[[Column, Column], Column]) -> Column:
+    """``test`` of the line and its lower-case form, each evaluated once."""
+    return let(line, lambda l: let(F.lower(l), lambda low: test(l, low)))
+
+
 def is_meta_line(line: Column) -> Column:
-    return line.rlike(f"(?i){META_LINE}")
+    return _in_any_case(line, lambda l, low: rx.worded(l, low, META_LINE))
 
 
 def is_speculative(line: Column) -> Column:
     """A line that belongs to the gaps."""
-    return is_meta_line(line) | (
-        ~line.rlike(f"(?i){docs.NO_PATTERN}") & line.rlike(f"(?i){SPECULATION}")
+    return _in_any_case(
+        line,
+        lambda l, low: (rx.worded(l, low, SPECULATION) & ~rx.worded(l, low, docs.NO_PATTERN))
+        | rx.worded(l, low, META_LINE),
     )
 
 
+def is_suggestion(line: Column) -> Column:
+    """A gap line that proposes something."""
+    return _in_any_case(line, lambda l, low: rx.worded(l, low, SUGGESTION))
+
+
+def parted(lines: Column, test: Callable[[Column], Column]) -> Column:
+    """struct<yes, no>: lines that meet ``test`` and the others; each is tested once."""
+    tested = F.transform(lines, lambda l: F.struct(l.alias("line"), test(l).alias("met")))
+
+    def part(found: Column) -> Column:
+        side = lambda met: F.transform(F.filter(found, met), lambda x: x["line"])
+        return F.struct(side(lambda x: x["met"]).alias("yes"), side(lambda x: ~x["met"]).alias("no"))
+
+    return let(tested, part)
+
+
 def partition_speculative(content: Column) -> Column:
     """struct<kept, gaps>: body and the lines that leave it.
 
     Fences are folded first, so a code block is one line that always stays.
     """
 
-    def part(folded: Column) -> Column:
-        lines = docs.lines(folded)
-        fixed = lambda l: (
-            l.rlike(rf"^{_S}*```") | F.startswith(l, F.lit("#")) | F.startswith(l, F.lit("|"))
+    def fixed(line: Column) -> Column:
+        return (
+            F.startswith(line, F.lit("#"))
+            | F.startswith(line, F.lit("|"))
+            | F.startswith(F.ltrim(line, F.lit(_INLINE_SPACES)), F.lit("```"))
         )
-        moves = lambda l: ~fixed(l) & is_speculative(rx.trim(l))
+
+    def part(found: Column) -> Column:
         return F.struct(
-            docs.unfold(F.array_join(F.filter(lines, lambda l: ~moves(l)), "\n")).alias("kept"),
-            F.filter(lines, moves).alias("gaps"),
+            docs.unfold(F.array_join(found["no"], "\n")).alias("kept"), found["yes"].alias("gaps")
         )
 
-    return let(docs.fold_fences(content), part)
+    moves = lambda l: ~fixed(l) & is_speculative(rx.trim(l))
+    return let(parted(docs.lines(docs.fold_fences(content)), moves), part)
 
 
 def extract_gap_sections(content: Column) -> Column:
@@ -127,7 +155,7 @@ def extract_gap_sections(content: Column) -> Column:
     pieces = F.split(F.concat(F.lit("\n"), content), docs._SECTION_START)
 
     def part(all_: Column) -> Column:
-        is_gap = lambda p: p.rlike(rf"(?i){GAP_HEADING}")
+        is_gap = lambda p: F.startswith(p, F.lit("###")) & p.rlike(rf"(?i){GAP_HEADING}")
         found = F.flatten(
             F.transform(
                 F.filter(all_, is_gap),
@@ -145,9 +173,10 @@ def extract_gap_sections(content: Column) -> Column:
             lambda p: F.when(~is_gap(p), p).when(F.endswith(p, F.lit("\n")), "\n").otherwise(""),
         )
         kept = F.substr(F.array_join(rest, ""), F.lit(2))
-        kept = rx.replace(kept, r"\n---\s*\n\s*(?=###\s*(?:反模式|Anti-?patterns?|证据|Evidence))", "\n", "i")
-        kept = rx.replace(kept, r"\n{2,}---\s*\n{2,}(?=---\s*\n)", "\n\n")
-        kept = F.regexp_replace(kept, r"\n{3,}", "\n\n")
+        rule = ("\n---",)
+        kept = rx.replace_where(kept, rule, r"\n---\s*\n\s*(?=###\s*(?:反模式|Anti-?patterns?|证据|Evidence))", "\n", "i")
+        kept = rx.replace_where(kept, rule, r"\n{2,}---\s*\n{2,}(?=---\s*\n)", "\n\n")
+        kept = rx.replace_where(kept, ("\n\n\n",), r"\n{3,}", "\n\n")
         return F.struct(kept.alias("kept"), found.alias("gaps"))
 
     return let(pieces, part)
@@ -176,24 +205,23 @@ def append_gaps(body: Column, lines: Column, language: str) -> Column:
     """The document with one structured gap section at its end."""
     text = TEXTS[language]
 
-    def write(bulleted: Column) -> Column:
-        suggesting = lambda l: l.rlike(f"(?i){SUGGESTION}")
+    def write(found: Column) -> Column:
         side = lambda found: F.when(F.size(found) == 0, F.lit(text["none"])).otherwise(
             F.array_join(dedupe_gap_lines(found), "\n")
         )
         return F.concat(
             rx.trim_end(body),
             F.lit(f"\n\n\n### {text['gaps']}\n\n#### {text['observed']}\n"),
-            side(F.filter(bulleted, lambda l: ~suggesting(l))),
+            side(found["no"]),
             F.lit(f"\n\n#### {text['suggested']}\n"),
-            side(F.filter(bulleted, suggesting)),
+            side(found["yes"]),
         )
 
     trimmed = F.filter(F.transform(lines, rx.trim), lambda l: l != "")
     bulleted = F.transform(
         trimmed, lambda l: F.when(F.startswith(l, F.lit("-")), l).otherwise(F.concat(F.lit("- "), l))
     )
-    return let(bulleted, write)
+    return let(parted(bulleted, is_suggestion), write)
 
 
 def ensure_scope(content: Column, layer: Column, language: str) -> Column:
@@ -208,8 +236,8 @@ def ensure_scope(content: Column, layer: Column, language: str) -> Column:
     )
     has = content.rlike(f"(?i){pattern}")
     filled = rx.trim(F.regexp_extract(content, f"(?i){pattern}", 2)) != ""
-    head = rx.trim_end(F.regexp_extract(content, r"^[^\n]*", 0))
-    rest = F.regexp_replace(content, r"^[^\n]*", "")
+    line = F.substring_index(content, "\n", 1)
+    head, rest = rx.trim_end(line), F.substr(content, F.length(line) + 1)
     parts = F.split(content, f"(?i){pattern}", 2)
     return (
         F.when(layer.isNull() | (has & filled), content)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from habitus.functions import patterns as rx
 from habitus.operators import documents as docs
+from habitus.operators import governance as gv
 from habitus.operators import overview as ov
 from habitus.operators import trace as tr
 from habitus.operators import verify as vf
@@ -173,3 +174,23 @@ def test_plain_texts_skip_the_patterns(spark):
     cleaned = {"a [必须]  b": "a b", "[必须][推荐] a": "a", " a　 b ": "a b", "a * Evidence: x.ts * b": "a b", "**a** b": "a b"}
     rows = spark.createDataFrame([(t,) for t in cleaned], "t string")
     assert {r.t: r.x for r in rows.select("t", tr.clean_body(F.col("t")).alias("x")).collect()} == cleaned
+
+
+def test_gap_lines_are_tested_once_and_by_words_first(spark):
+    text = F.col("text")
+    df = _texts(spark)
+    tested = df.select("text", gv.is_speculative(text).alias("gap"), gv.is_meta_line(text).alias("meta"), gv.is_suggestion(text).alias("more"))
+    search = lambda pattern, t: re.search(pattern, t, re.I | re.A) is not None
+    for r in tested.collect():
+        if r.text is None:
+            assert r.gap is None and r.meta is None and r.more is None
+            continue
+        meta = search(gv.META_LINE, r.text)
+        gap = search(gv.SPECULATION, r.text) and not search(docs.NO_PATTERN, r.text)
+        assert (r.gap, r.meta, r.more) == (meta or gap, meta, search(gv.SUGGESTION, r.text)), r.text
+    parted = df.select(gv.partition_speculative(text).alias("p"))
+    assert parted._jdf.queryExecution().optimizedPlan().toString().count("推断(?!的)") == 1
+    whole = "a maybe\n# maybe\n| maybe\n\u3000```ts\nmaybe\n```\nb\n  可能是 c\n推测 d"
+    got = spark.createDataFrame([(whole,), (None,)], "text string").select(gv.partition_speculative(text).alias("p")).collect()
+    assert got[0].p.gaps == ["a maybe", "推测 d"] and got[0].p.kept == "# maybe\n| maybe\n\u3000```ts\nmaybe\n```\nb\n  可能是 c"
+    assert got[1].p.gaps is None and got[1].p.kept is None
