@@ -12,7 +12,7 @@ from habitus.operators import trace as tr
 from habitus.operators import verify as vf
 from habitus.session import BATCH_BYTES
 from habitus.sources import artifacts, folders
-from workload import views
+from workload import overview, views
 
 # words, their other case, look-alikes beyond ASCII, spaces of all kinds
 TEXTS = [
@@ -25,6 +25,10 @@ TEXTS = [
 ]
 
 
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def _texts(spark):
     return spark.createDataFrame(list(enumerate(TEXTS)), "n int, text string").repartition(1)
 
@@ -194,3 +198,20 @@ def test_gap_lines_are_tested_once_and_by_words_first(spark):
     got = spark.createDataFrame([(whole,), (None,)], "text string").select(gv.partition_speculative(text).alias("p")).collect()
     assert got[0].p.gaps == ["a maybe", "推测 d"] and got[0].p.kept == "# maybe\n| maybe\n\u3000```ts\nmaybe\n```\nb\n  可能是 c"
     assert got[1].p.gaps is None and got[1].p.kept is None
+
+
+def test_a_diff_makes_each_key_once_and_squeezes_starts_only(spark):
+    odd = ["", "  a  b ", "A B", "x" * 179 + "  y", "x" * 180 + " z", ("w  " * 400), "\u3000" * 500 + "ab" * 100, "ΑΣ" * 100, "İ" * 200, "é \t" * 300, " " * 1000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*TEXTS, *odd])], "n int, text string")
+    whole = F.left(rx.squeeze(F.lower("text")), F.lit(vf.DIFF_TEXT))
+    assert df.select(vf.diff_key(F.col("text")).eqNullSafe(whole).alias("same")).distinct().collect() == [(True,)]
+    rows = df.select(F.lit("s").alias("skill"), F.lit("t").alias("project_type"), F.lit("L1").alias("layer"), "text")
+    plan = _plan(vf.trace_diff(rows, rows.withColumn("text", F.reverse("text"))))
+    assert plan.count("lower(") == 4, plan
+
+
+def test_templates_are_traced_once(spark, monkeypatch):
+    read, plain = [], tr.document_templates
+    monkeypatch.setattr(tr, "document_templates", lambda d: read.append(d) or plain(d))
+    shown = overview._templates(spark, "/root/testdata/sf0.001")
+    assert len(read) == 2 and "Relation [" not in _plan(shown)
