@@ -215,3 +215,23 @@ def test_templates_are_traced_once(spark, monkeypatch):
     monkeypatch.setattr(tr, "document_templates", lambda d: read.append(d) or plain(d))
     shown = overview._templates(spark, "/root/testdata/sf0.001")
     assert len(read) == 2 and "Relation [" not in _plan(shown)
+
+
+def test_folders_are_listed_by_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(artifacts, "ENTRIES", 3)
+    for place, text in (
+        ("my skill/reference/vue3/L1-b 100%.md", "second"), ("my skill/reference/vue3/L1-a+项目.md", "first\n"),
+        ("my skill/reference/vue3/L1-0.md", ""), ("my skill/reference/vue3/L9-x.md", "no layer"),
+        ("my skill/reference/vue3/L2-a.txt", "no document"), ("my skill/reference/vue3/.L2-a.md.1", "half"),
+        ("s/reference/_old/L1-a.md", "left out"), ("s/reference/.git/L1-a.md", "left out"), ("s/reference/t=1/L8-x.md", "x"),
+        ("deep/er/s/reference/go/L3-x.md", "deep"), ("L4-top.md", "no reference"),
+    ):
+        (tmp_path / place).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / place).write_text(text)
+    for root in (str(tmp_path), tmp_path.as_uri()):
+        read = artifacts.read_layer_docs(spark, root)
+        assert "binaryFile" not in _plan(read)
+        assert sorted(map(tuple, read.collect())) == [
+            ("", "", "L4", "L4-top", "no reference"), ("my skill", "vue3", "L1", "L1-a+项目", "first\n"),
+            ("s", "go", "L3", "L3-x", "deep"), ("s", "t=1", "L8", "L8-x", "x"),
+        ]
