@@ -224,6 +224,16 @@ def append_gaps(body: Column, lines: Column, language: str) -> Column:
     return let(parted(bulleted, is_suggestion), write)
 
 
+def sides_of(text: Column, hit: Column) -> tuple[Column, Column]:
+    """What stands before and after ``hit``, a pattern's first match in ``text``.
+
+    For matches that are no shorter wherever their text stands: then the first
+    match is also the first place of its text.  No match is ''.
+    """
+    before = F.when(hit == "", text).otherwise(F.call_function("substring_index", text, hit, F.lit(1)))
+    return before, F.substr(text, F.length(before) + F.length(hit) + 1)
+
+
 def ensure_scope(content: Column, layer: Column, language: str) -> Column:
     """The document with a filled scope section."""
     defaults = F.create_map(*[F.lit(x) for pair in DEFAULT_SCOPE[language].items() for x in pair])
@@ -234,22 +244,20 @@ def ensure_scope(content: Column, layer: Column, language: str) -> Column:
     pattern = (
         rf"(?s)(\n###{_S}+(?:范围|Scope)[{rx.SPACE_CLASS}]*\n)(.*?)(?=\n###|\n---|\n## |\z)"
     )
-    has = content.rlike(f"(?i){pattern}")
-    filled = rx.trim(F.regexp_extract(content, f"(?i){pattern}", 2)) != ""
     line = F.substring_index(content, "\n", 1)
     head, rest = rx.trim_end(line), F.substr(content, F.length(line) + 1)
-    parts = F.split(content, f"(?i){pattern}", 2)
-    return (
-        F.when(layer.isNull() | (has & filled), content)
-        .when(
-            has,
-            F.concat(
-                F.get(parts, F.lit(0)), F.lit("\n"), heading, fallback, F.lit("\n"),
-                F.coalesce(F.get(parts, F.lit(1)), F.lit("")),
-            ),
+
+    def fill(hit: Column) -> Column:
+        filled = rx.trim(F.regexp_extract(hit, f"(?i){pattern}", 2)) != ""
+        before, after = sides_of(content, hit)
+        return (
+            F.when(hit == "", F.concat(head, F.lit("\n\n"), heading, fallback, F.lit("\n"), rest))
+            .when(filled, content)
+            .otherwise(F.concat(before, F.lit("\n"), heading, fallback, F.lit("\n"), after))
         )
-        .otherwise(F.concat(head, F.lit("\n\n"), heading, fallback, F.lit("\n"), rest))
-    )
+
+    hit = F.regexp_extract(content, f"(?i){pattern}", 0)
+    return F.when(layer.isNull(), content).otherwise(let(hit, fill))
 
 
 def strip_unsafe_templates(body: Column) -> Column:
@@ -320,13 +328,14 @@ def govern(layer_docs: DataFrame, evidence: DataFrame, language: str = "zh") ->
     rows = rows.select(*KEY, "layer", "old_gaps", col("p.gaps").alias("moved"),
                        ensure_scope(col("p.kept"), col("layer"), language).alias("doc"))
     # the first template section, split into before, heading, body and after
-    head, inside = F.regexp_extract(col("doc"), _FIRST_TEMPLATE, 1), F.regexp_extract(col("doc"), _FIRST_TEMPLATE, 3)
-    title = rx.trim(F.regexp_extract(col("doc"), _FIRST_TEMPLATE, 2))
-    sides = F.split(col("doc"), _FIRST_TEMPLATE, 2)
+    rows = rows.withColumn("hit", F.regexp_extract("doc", _FIRST_TEMPLATE, 0))
+    head, inside = F.regexp_extract(col("hit"), _FIRST_TEMPLATE, 1), F.regexp_extract(col("hit"), _FIRST_TEMPLATE, 3)
+    title = rx.trim(F.regexp_extract(col("hit"), _FIRST_TEMPLATE, 2))
+    before, after = sides_of(col("doc"), col("hit"))
     rows = rows.select(
         *KEY, "layer", "old_gaps", "moved", "doc",
-        F.get(sides, F.lit(0)).alias("before"),
-        F.coalesce(F.get(sides, F.lit(1)), F.lit("")).alias("after"),
+        before.alias("before"),
+        after.alias("after"),
         head.alias("head"),
         F.when(title != "", title).otherwise("Template").alias("name"),
         strip_unsafe_templates(inside).alias("t"),

@@ -235,3 +235,24 @@ def test_folders_are_listed_by_tasks(spark, tmp_path, monkeypatch):
             ("", "", "L4", "L4-top", "no reference"), ("my skill", "vue3", "L1", "L1-a+项目", "first\n"),
             ("s", "go", "L3", "L3-x", "deep"), ("s", "t=1", "L8", "L8-x", "x"),
         ]
+
+
+def test_scope_and_template_are_matched_once(spark):
+    head = "## L1 · A\n"
+    texts = {
+        head + "x": head.strip() + "\n\n### Scope\n{}\n\nx",
+        head + "### Scope\n\n---\nb\n### Scope\nc": None,
+        head + "a\n### scope\nfull\n### Scope\n\n": None,
+        head + "a\n### 范围\n": head + "a\n### Scope\n{}\n",
+        head + "a\n### Scope\n \n## B\n### Scope\n \n## B": None,
+        "": "\n\n### Scope\n{}\n",
+    }
+    df = spark.createDataFrame([(t, "L1") for t in texts], "c string, layer string")
+    made = df.select("c", gv.ensure_scope(F.col("c"), F.col("layer"), "en").alias("out"))
+    assert _plan(made).count("(.*?)") == 2  # in the text, and in what was found there
+    for r in made.collect():
+        assert r.out == (texts[r.c] or r.c).format(gv.DEFAULT_SCOPE["en"]["L1"]), r.c
+    evidence = "skill string, project_type string, summary string, files array<string>"
+    docs_ = df.select(F.lit("s").alias("skill"), F.lit("t").alias("project_type"), "layer", F.col("c").alias("content"))
+    plan = _plan(gv.govern(docs_, spark.createDataFrame([], evidence), "en"))
+    assert plan.count("regexp_extract(doc#") == 2  # scope, template
