@@ -4,10 +4,12 @@ import time
 
 from pyspark.sql import functions as F
 
+from habitus.operators import documents as docs
 from habitus.operators import overview as ov
 from habitus.operators import trace as tr
+from habitus.operators import verify as vf
 from habitus.session import SHUFFLE_CLEANUP, cut_lineage
-from workload import views
+from workload import documents, views
 
 EVIDENCE = "skill string, project_type string, layer string, rule_id string, confidence string, count bigint, files array<string>"
 AT = "struct<layer:string,section_pos:int,group_pos:int,block_pos:int>"
@@ -85,6 +87,41 @@ def test_even_inputs_are_not_dealt_out(spark, tmp_path):
     assert "REPARTITION" not in _physical(views.spread(even, [even]))
 
 
+def test_a_diff_shuffles_no_key_texts(spark):
+    rows = spark.createDataFrame(
+        [("s", "t", "L1", "Same  text"), ("s", "t", "L1", "new"), ("s", "t", "L2", "new"), (None, "t", "L1", "x"), ("s", "t", "L1", None), ("s", "u", "L1", "")],
+        "skill string, project_type string, layer string, text string",
+    )
+    old = rows.withColumn("text", F.when(F.col("text") == "new", "OLD").otherwise(F.upper("text")))
+    diff = vf.trace_diff(rows, old)
+    sides = [line for line in _physical(diff).split("\n") if "HashAggregate(keys=[skill" in line]
+    assert len(sides) == 4 and not any(" text#" in line for line in sides)
+    got = sorted((r.change, r.skill or "", r.layer, r.text) for r in diff.filter("text is not null").collect())
+    assert got == [
+        ("added", "", "L1", "x"), ("added", "s", "L1", "new"), ("added", "s", "L2", "new"),
+        ("removed", "", "L1", "X"), ("removed", "s", "L1", "OLD"), ("removed", "s", "L2", "OLD"),
+    ]
+    assert diff.filter("text is null").count() == 2
+    short = vf.trace_diff(rows, old, F.left("text", F.lit(1)))
+    assert sorted(map(str, short.collect())) == sorted(map(str, diff.withColumn("text", F.left("text", F.lit(1))).collect()))
+
+
+def test_snapshots_repeat_documents_of_one_id_without_moving_the_others(spark, tmp_path):
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    rows = [(i, f"line {i}\nmore", "en", "src", 9) for i in range(20)]
+    for name, ids in (("once", []), ("twice", [3, 3, 7, None])):
+        more = [(i, "again", "de", "other", 5) for i in ids]
+        spark.createDataFrame(rows + more, schema).repartition(4).write.parquet(str(tmp_path / name / "documents.parquet"))
+        sf = str(tmp_path / name)
+        d = documents.layer_docs(spark, sf)
+        whole = d.select("doc_id", "layer", "content").join(d.select("doc_id", *documents.KEY), "doc_id")
+        now, before = documents._snapshots(spark, sf)
+        want = whole.select(*documents.KEY, "layer", "doc_id", F.posexplode(docs.lines(F.col("content"))).alias("n", "text"))
+        key = lambda df: sorted(map(tuple, df.select("skill", "project_type", "layer", "doc_id", "n").collect()))
+        assert key(now) == key(before) == key(want)
+        assert ("Join" in _physical(now)) == bool(ids)
+
+
 def test_a_cut_leaves_no_shuffle_files(spark):
     blocks = lambda: [b for b in map(str, _blocks(spark)) if b.startswith("shuffle_")]
     before = set(blocks())
