@@ -80,6 +80,23 @@ def test_rules_of_small_references_are_shuffled_once(spark):
     assert sorted(map(str, best(True).collect())) == sorted(map(str, best(False).collect()))
 
 
+def test_documents_of_traced_references_are_not_taken_apart_again(spark, monkeypatch):
+    text = "## L1 · A\n### Template: One\n```\nx\n```\n### Template: Two\nmaybe 可能\n"
+    docs_ = spark.createDataFrame(
+        [("s", "t", "L1", text), ("s", "u", "L1", text), (None, "t", "L1", text)], "skill string, project_type string, layer string, content string"
+    )
+    traced = spark.createDataFrame(
+        [("s", "t", 1, "L1", "Known", "pending"), (None, "t", 1, "L1", "Lost", "active")],
+        "skill string, project_type string, pos int, layer string, name string, status string",
+    )
+    seen, plain = [], tr.document_templates
+    monkeypatch.setattr(tr, "document_templates", lambda d: seen.append(d) or plain(d))
+    got = sorted(map(str, ov.template_info(traced, docs_).collect()))
+    assert sorted(str((r.skill, r.project_type)) for r in seen[0].collect()) == ["('s', 'u')", "(None, 't')"]
+    monkeypatch.setattr(ov, "broadcast_if_small", lambda df: None)
+    assert got == sorted(map(str, ov.template_info(traced, docs_).collect())) and len(got) == 6
+
+
 def test_even_inputs_are_not_dealt_out(spark, tmp_path):
     cores = spark.sparkContext.defaultParallelism
     spark.range(4000).repartition(4 * cores).write.parquet(str(tmp_path / "many"))
